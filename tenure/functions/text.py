@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +31,8 @@ def blank_to_null(c: Column) -> Column:
 def fold(c: Column) -> Column:
     """For comparison regardless of case and spacing; null counts as blank."""
     return F.lower(squeeze(F.coalesce(c, F.lit(""))))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tenure.plans import asof, skew, snapshots
+from tenure.plans import asof, drift, skew, snapshots
 
-MODULES = (skew, asof, snapshots)
+MODULES = (skew, asof, drift, snapshots)
 
 
 def queries() -> dict:
