@@ -7,20 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most frequent keys of the left side, whose partners are broadcast: that many rows at most.
-HOT_KEYS = 1000
+#: The most frequent keys of the left side are spread: so many keys, over so many parts each.
+HOT_KEYS, PARTS = 256, 32
 
 
-def hot_key_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, values: Sequence[str], hot_keys: int = HOT_KEYS) -> DataFrame:
+def hot_key_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, values: Sequence[str], hot_keys: int = HOT_KEYS, parts: int = PARTS) -> DataFrame:
     """left with the values of right's row of that key, or nulls; right must hold a key once.
 
-    The most frequent keys of left meet their row by broadcast (``hot_keys`` rows at most), all others by an
-    ordinary join in which no key is frequent. Null keys find nothing. Values must not be columns of left.
+    Rows of the ``hot_keys`` most frequent keys of left are salted over ``parts`` parts, and right's rows of
+    those keys repeated as often: ``hot_keys * parts`` extra rows at most, so that no task meets more than a
+    part of any key. Null keys find nothing. Values must not be columns of left.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__hot").limit(hot_keys).drop("__n")
-    side = right.select(F.col(right_key).alias("__k"), *values)
-    hot = F.broadcast(counts.join(side, F.col("__hot") == F.col("__k"), "left").drop("__k"))
-    with_hot = left.join(hot, F.col(key) == F.col("__hot"), "left")
-    found = with_hot.where("__hot is not null").select(*left.columns, *values)
-    rest = with_hot.where("__hot is null").select(*left.columns).join(side, F.col(key) == F.col("__k"), "left").select(*left.columns, *values)
-    return found.unionByName(rest)
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+    # a bounded list; keys that are rare would only be repeated for nothing
+    hot = F.broadcast(counts.where(F.col("__n") > parts).orderBy(F.desc("__n"), "__hot").limit(hot_keys).select("__hot"))
+    salted = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int"))).drop("__hot")
+    side = right.select(F.col(right_key).alias("__k"), *values).join(hot, F.col("__k") == F.col("__hot"), "left")
+    side = side.withColumn("__p", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(parts - 1))))).drop("__hot")
+    return salted.join(side, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left").select(*left.columns, *values)
