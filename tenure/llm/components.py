@@ -32,7 +32,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         parents = flatten(checkpoint(both.groupBy("node").agg(F.min("label").alias("root"))))
         rounds.append(parents)
         at_a = hot_key_lookup(edges, "a", parents.withColumnRenamed("root", "root_a"), "node", ["root_a"])
-        at_b = hot_key_lookup(at_a, "b", parents.withColumnRenamed("root", "root_b"), "node", ["root_b"])
+        at_b = hot_key_lookup(checkpoint(at_a), "b", parents.withColumnRenamed("root", "root_b"), "node", ["root_b"])
         edges = checkpoint(clean_edges(at_b.select("root_a", "root_b"), "root_a", "root_b"))
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -40,7 +40,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     result = rounds[-1]
     for parents in reversed(rounds[:-1]):
         above = result.withColumnRenamed("root", "above")
-        result = hot_key_lookup(parents, "root", above, "node", ["above"]).select("node", F.coalesce("above", "root").alias("root"))
+        result = checkpoint(hot_key_lookup(parents, "root", above, "node", ["above"]).select("node", F.coalesce("above", "root").alias("root")))
     return result
 
 

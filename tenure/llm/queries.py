@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import components, contamination, mixing
-from tenure.session import table
+from tenure.llm import components, contamination, mixing, truncation
+from tenure.session import checkpoint, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,17 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.reached(drawn, "source", plan)
 
 
-QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, sf_dir, "documents"), "doc_id", "source", "text").where("truncated").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    limits = checkpoint(truncation.storage_limits(docs, "source", "text"))
+    return truncation.truncation_rates(truncation.find_truncated(docs, "doc_id", "source", "text", limits), "source", limits)
+
+
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 _CLUSTERS = """
     with recursive e as (select owner_key_a as a, owner_key_b as b from owner_link where trim(coalesce(owner_key_a, '')) <> '' and trim(coalesce(owner_key_b, '')) <> '' and owner_key_a <> owner_key_b),
