@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import components, contamination, mixing, truncation
+from tenure.llm import components, contamination, mixing, names, truncation
 from tenure.session import checkpoint, table
 
 
@@ -18,6 +18,17 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_owners"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs_of_groups(names.variant_groups(table(spark, sf_dir, "owners"), "owner_key", "name_normalized"), "owner_key", "group_id")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every owner with the smallest key of its group of spellings."""
+    groups = names.variant_groups(table(spark, sf_dir, "owners"), "owner_key", "name_normalized")
+    smallest = groups.groupBy("group_id").agg(F.min("owner_key").alias("entity_key"))
+    return groups.join(smallest, "group_id").select("owner_key", "entity_key")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -62,7 +73,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(truncation.find_truncated(docs, "doc_id", "source", "text", limits), "source", limits)
 
 
-QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 _CLUSTERS = """
     with recursive e as (select owner_key_a as a, owner_key_b as b from owner_link where trim(coalesce(owner_key_a, '')) <> '' and trim(coalesce(owner_key_b, '')) <> '' and owner_key_a <> owner_key_b),
