@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,15 +44,22 @@ FILLERS = {"THE", "OF"}
 
 _SHORT = {short: word for word, shorts in BUSINESS.items() for short in shorts}
 _GIVEN = set(NICKNAMES.values())
+_WRITTEN = {form: word for word in BUSINESS if len(word) > 5 for form in (word, word[:-1] + "IES" if word.endswith("Y") else word + "S")}
+_SEPARATOR, _GLUED = re.compile(r"[/.,-]"), re.compile(r"\b(\d+)(?=[A-Z]{3,})")
 PARSED = "cls string, fixed string, legal string, words array<string>, initials array<string>"
 
 
 def _singular(word: str) -> str:
     if word in _SHORT:
         return _SHORT[word]
-    if len(word) > 4 and word.endswith("IES"):
+    if word.endswith("IES") and word[:-3] + "Y" in BUSINESS:
         return word[:-3] + "Y"
-    return word[:-1] if len(word) > 4 and word.endswith("S") and word[:-1] in BUSINESS else word
+    if word[:-1] in BUSINESS and word.endswith("S"):
+        return word[:-1]
+    # a business word mistyped in one place
+    if len(word) > 5 and word not in BUSINESS:
+        return next((w for form, w in _WRITTEN.items() if abs(len(form) - len(word)) <= 1 and common_length(form, word) >= max(len(form), len(word)) - 1), word)
+    return word
 
 
 def parse(name: str) -> tuple[str, str, str, list[str], list[str]]:
@@ -60,7 +68,8 @@ def parse(name: str) -> tuple[str, str, str, list[str], list[str]]:
     Classes are trust, company, couple and person. Numbers, numerals and generations must be equal between
     rows of one owner. Fillers are dropped, short forms written out, plurals of business words made singular.
     """
-    tokens = name.upper().replace("&", " & ").replace("/", " ").replace("-", " ").replace(".", " ").replace(",", " ").split()
+    # a number run into the next word is two parts
+    tokens = _GLUED.sub(r"\1 ", _SEPARATOR.sub(" ", name.upper()).replace("&", " & ")).split()
     held = set(tokens)
     legal = ""
     singular = [_singular(t) for t in tokens]
