@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import components, contamination, mixing, names, truncation
+from tenure.llm import addresses, components, contamination, mixing, names, truncation
 from tenure.session import checkpoint, table
 
 
@@ -29,6 +29,20 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.join(smallest, "group_id").select("owner_key", "entity_key")
 
 
+def _locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.locations(table(spark, sf_dir, "address_register"), "address_id", "address_raw", "city", "state", "zip")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs_of_groups(_locations(spark, sf_dir), "address_id", "location_id")
+
+
+def p5_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with the smallest entry of its location."""
+    found = _locations(spark, sf_dir)
+    return found.join(found.groupBy("location_id").agg(F.min("address_id").alias("location")), "location_id").select("address_id", "location")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -73,7 +87,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(truncation.find_truncated(docs, "doc_id", "source", "text", limits), "source", limits)
 
 
-QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
+QUERIES = {"p2_found": p2_found, "p2_sizes": p2_sizes, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_locations": p5_locations, "p8_found": p8_found, "p8_longest": p8_longest, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_rates": p10_rates}
 
 _CLUSTERS = """
     with recursive e as (select owner_key_a as a, owner_key_b as b from owner_link where trim(coalesce(owner_key_a, '')) <> '' and trim(coalesce(owner_key_b, '')) <> '' and owner_key_a <> owner_key_b),
