@@ -15,6 +15,7 @@ FORM_SHARE, FORM_LEAST = 0.0005, 3
 #: Widths, in characters, in which lengths near a limit and before it are counted.
 NEAR, BEFORE = 20, 100
 
+SPACES = " \t\n\x0b\f\r\u0085\u00a0\u2007\u2028\u2029\u202f\u3000\ufeff"
 _TERMINAL = r"[.!?。！？؟।][\"'”’»)\]]*$|[”»]$"
 _ELLIPSIS = r"(…|\.\.\.|�)$"
 
@@ -99,16 +100,17 @@ def find_truncated(docs: DataFrame, doc: str, source: str, text: str, limits: Da
     # a row per source that has a limit
     near = named.join(limits.select(F.col("source").alias("__s"), "encoding", "length_limit"), F.col("source").eqNullSafe(F.col("__s")), "left")
     length = F.coalesce(*[F.when(F.col("encoding") == n, c) for n, c in lengths.items()])
-    body = F.regexp_replace(t, r"(?U)\s+$", "")
+    body = F.rtrim(F.replace(t, F.lit("\r"), F.lit("\n")), F.lit(SPACES))
     base = near.select("doc", "source", F.coalesce(length > F.col("length_limit") - NEAR, F.lit(False)).alias("at_limit"), body.alias("body"))
-    line = F.trim(F.regexp_extract("body", r"([^\n\r]*)$", 1))
-    ends = base.select("doc", "source", "at_limit", line.alias("line"), F.col("body").rlike(_TERMINAL).alias("terminal"), F.col("body").rlike(_ELLIPSIS).alias("broken"))
+    line, end = F.trim(F.substring_index("body", "\n", -1)), F.right("body", F.lit(12))
+    # only the end is searched: a pattern that is tied to the end would be tried from every place of the text
+    ends = base.select("doc", "source", "at_limit", line.alias("line"), end.rlike(_TERMINAL).alias("terminal"), end.rlike(_ELLIPSIS).alias("broken"))
     ends = ends.withColumn("open", F.col("broken") | ~F.col("terminal"))
     candidate = F.col("open") & ~F.col("broken") & (F.length("line") <= SHORT_LINE)
     ends = ends.withColumns({"form": F.when(candidate, _form(F.col("line"))), "token": F.when(candidate, _last_token(F.col("line")))})
 
     # list entries before the end of a text, and open last lines of texts below the limit
-    entries = base.where(F.col("body").contains(":") & F.col("body").contains("\n")).select(F.explode(F.slice(F.split("body", r"\r?\n"), 1, F.greatest(F.lit(0), F.size(F.split("body", r"\r?\n")) - 1))).alias("line"))
+    entries = base.where(F.col("body").contains(":") & F.col("body").contains("\n")).select(F.explode(F.slice(F.split("body", "\n"), 1, F.greatest(F.lit(0), F.size(F.split("body", "\n")) - 1))).alias("line"))
     entries = entries.select(F.trim("line").alias("line")).where(F.col("line").rlike(r"^[^:\d]{1,30}:\s") & ~F.col("line").rlike(_TERMINAL) & (F.length("line") <= SHORT_LINE))
     closings = ends.where(F.col("form").isNotNull() & ~F.col("at_limit")).select("form", "token")
     seen = checkpoint(entries.select(_form(F.col("line")).alias("form"), _last_token(F.col("line")).alias("token")).unionByName(closings).groupBy("form", "token").agg(F.count(F.lit(1)).alias("times")))
