@@ -197,8 +197,9 @@ def _matches(batch: pd.DataFrame, items: Items, runs: list[list[int]], starts: l
     run = np.searchsorted(first, position, side="right") - 1
     row = np.array([s[0] for s in starts])[run]
     word = np.array([s[1] for s in starts])[run] + position - first[run]
-    frame = pd.DataFrame({"doc": batch["doc"].to_numpy()[row], "item": items.owner[which], "longest": length, "doc_word": word, "item_word": items.start[which]})
-    return frame.sort_values(["longest", "doc_word", "item_word"], ascending=[False, True, True]).drop_duplicates(["doc", "item"])[columns]
+    frame = pd.DataFrame({"doc": batch["doc"].to_numpy(dtype=object)[row], "item": items.owner[which], "longest": length, "doc_word": word, "item_word": items.start[which]})
+    best = frame.sort_values(["longest", "doc_word", "item_word"], ascending=[False, True, True]).drop_duplicates(["doc", "item"])[columns]
+    return best.astype({"doc": object, "item": object})
 
 
 def without_leaks(docs: DataFrame, doc: str, leaks: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ NICKNAMES = {
     "BECKY": "REBECCA", "RICK": "RICHARD", "RICH": "RICHARD", "DICK": "RICHARD", "BOB": "ROBERT", "BOBBY": "ROBERT", "ROB": "ROBERT", "SAM": "SAMUEL", "STEVE": "STEPHEN", "SUE": "SUSAN", "SUSIE": "SUSAN",
     "TED": "THEODORE", "THEO": "THEODORE", "TOM": "THOMAS", "TOMMY": "THOMAS", "VICKY": "VICTORIA", "VICKI": "VICTORIA", "WALT": "WALTER", "BILL": "WILLIAM", "BILLY": "WILLIAM", "WILL": "WILLIAM",
 }
+# Given names that differ by a letter.
+ALIKE = "ALAN ALANA ANNA ANNE CARL CARLA CARLO CARLOS CHRISTIAN CHRISTINA CLAUDIA CLAUDIO DANIEL DANIELA ERIC ERICA GABRIEL GABRIELA IRENA IRENE JOAN JOANN JOANNE JOHN JOSE JULIA JULIE JULIO LEON LEONA LUIS LUISA MARIA MARIE MARIO MARTIN MARTINA MICHAEL MICHAELA PAUL PAULA PAULO ROBERT ROBERTA SILVIA SILVIO STEPHAN STEPHEN STEVEN VICTOR VICTORIA".split()
 # Words of company and trust names, in singular, and how they are shortened.
 BUSINESS = {
     "ASSOCIATE": ("ASSOC", "ASSOCS", "ASSN"), "APARTMENT": ("APT", "APTS"), "DEVELOPMENT": ("DEV", "DEVEL", "DEVT"), "ENTERPRISE": ("ENT", "ENTS", "ENTPR"), "EQUITY": ("EQ", "EQUIT"), "HOLDING": ("HLDG", "HLDGS", "HOLD"), "HOUSING": ("HSG", "HOUS"),
@@ -43,7 +45,7 @@ FILLERS = {"THE", "OF"}
 # end of fixed values
 
 _SHORT = {short: word for word, shorts in BUSINESS.items() for short in shorts}
-_GIVEN = set(NICKNAMES.values())
+_GIVEN = set(NICKNAMES.values()) | set(ALIKE)
 _WRITTEN = {form: word for word in BUSINESS if len(word) > 5 for form in (word, word[:-1] + "IES" if word.endswith("Y") else word + "S")}
 _SEPARATOR, _GLUED = re.compile(r"[/.,-]"), re.compile(r"\b(\d+)(?=[A-Z]{3,})")
 PARSED = "cls string, fixed string, legal string, words array<string>, initials array<string>"
