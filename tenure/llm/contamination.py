@@ -183,13 +183,12 @@ def _search_batch(batch: pd.DataFrame, items: Items) -> Iterator[pd.DataFrame]:
         if held >= SHARD_WORDS:
             yield _matches(batch, items, runs, starts)
             runs, starts, held = [], [], 0
-    yield _matches(batch, items, runs, starts)
+    if runs:
+        yield _matches(batch, items, runs, starts)
 
 
 def _matches(batch: pd.DataFrame, items: Items, runs: list[list[int]], starts: list[tuple[int, int]]) -> pd.DataFrame:
     columns = ["doc", "item", "longest", "doc_word", "item_word"]
-    if not runs:
-        return pd.DataFrame({c: [] for c in columns})
     tokens = np.concatenate([np.array([*run, -1], np.int64) for run in runs])
     lengths = np.array([len(r) + 1 for r in runs])
     first = np.cumsum(lengths) - lengths
@@ -199,7 +198,7 @@ def _matches(batch: pd.DataFrame, items: Items, runs: list[list[int]], starts: l
     word = np.array([s[1] for s in starts])[run] + position - first[run]
     frame = pd.DataFrame({"doc": batch["doc"].to_numpy(dtype=object)[row], "item": items.owner[which], "longest": length, "doc_word": word, "item_word": items.start[which]})
     best = frame.sort_values(["longest", "doc_word", "item_word"], ascending=[False, True, True]).drop_duplicates(["doc", "item"])[columns]
-    return best.astype({"doc": object, "item": object})
+    return best.astype({"doc": object, "item": object})  # also where there is none: an empty float column is no text
 
 
 def without_leaks(docs: DataFrame, doc: str, leaks: DataFrame) -> DataFrame:

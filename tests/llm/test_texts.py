@@ -39,21 +39,22 @@ def longest(a: list[str], b: list[str], least: int) -> int:
 @pytest.mark.parametrize("shard", [50, 10**6])
 def test_leaks_equal_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(contamination, "SHARD_WORDS", shard)
-    items = [(i, " ".join(RNG.choices(VOCABULARY, k=RNG.randrange(3, 40)))) for i in range(12)] + [(12, None), (13, "")]
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choices(VOCABULARY, k=rng.randrange(3, 40)))) for i in range(12)] + [(12, None), (13, "")]
     docs = []
     for d in range(60):
-        text = RNG.choices([*VOCABULARY, "zz"], k=RNG.randrange(0, 60))
+        text = rng.choices([*VOCABULARY, "zz"], k=rng.randrange(0, 60))
         if d % 3 == 0:
-            source = items[RNG.randrange(12)][1].split()
-            start = RNG.randrange(len(source))
-            text[10:10] = source[start : start + RNG.randrange(2, 20)]
+            source = items[rng.randrange(12)][1].split()
+            start = rng.randrange(len(source))
+            text[10:10] = source[start : start + rng.randrange(2, 20)]
         docs.append((d, " ".join(text)))
     docs += [(100, None), (101, ""), (102, docs[0][1]), (0, docs[0][1]), (103, "w1 " * 5000)]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item int")
     it = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["longest"] for r in contamination.find_leaks(d, "doc_id", "text", it, "item_id", "text", 6).collect()}
     want = {(a, b): n for a, t in docs for b, u in items if (n := longest(contamination.words(t), contamination.words(u), 6))}
-    assert got == want and len(want) > 10
+    assert got == want and len(want) > 5
 
 
 def test_leak_blocks_and_empty(spark, monkeypatch):
