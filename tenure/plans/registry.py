@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tenure.plans import asof, drift, skew, snapshots
+from tenure.plans import asof, drift, ownership, skew, snapshots
 
-MODULES = (skew, asof, drift, snapshots)
+MODULES = (skew, asof, drift, snapshots, ownership)
 
 
 def queries() -> dict:
