@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.text import is_blank
+from tenure.operators.joins import hot_key_lookup
 from tenure.session import checkpoint
 
 
@@ -43,10 +44,10 @@ def star_components(edges: DataFrame) -> DataFrame:
     while True:
         ways = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_key_lookup(ways, "u", low, "u", ["m"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.where("u <> v")
         floor = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(floor, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x")), F.struct(F.col("u").alias("x")))).alias("e"), "m").select(F.col("e.x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = hot_key_lookup(down, "u", floor, "u", ["m"]).select(F.explode(F.array(F.struct(F.col("v").alias("x")), F.struct(F.col("u").alias("x")))).alias("e"), "m").select(F.col("e.x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = checkpoint(small.select(F.col("v").alias("a"), F.col("u").alias("b")))
         if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
             stars = after.select(F.col("b").alias("node"), F.col("a").alias("root"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tenure.plans import asof, drift, ownership, skew, snapshots
+from tenure.plans import asof, drift, ownership, skew, snapshots, transfers
 
-MODULES = (skew, asof, drift, snapshots, ownership)
+MODULES = (skew, asof, drift, snapshots, ownership, transfers)
 
 
 def queries() -> dict:
