@@ -12,7 +12,8 @@ from tenure.session import checkpoint
 
 def clean_edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b), a < b, distinct; pairs with a null or blank end or of a key with itself are left out."""
-    ends = pairs.where(~is_blank(F.col(a).cast("string")) & ~is_blank(F.col(b).cast("string")) & (F.col(a) != F.col(b)))
+    known = [~is_blank(F.col(c)) if kind == "string" else F.col(c).isNotNull() for c, kind in pairs.select(a, b).dtypes]
+    ends = pairs.where(known[0] & known[1] & (F.col(a) != F.col(b)))
     return ends.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 

@@ -227,54 +227,58 @@ def variant_groups(names: DataFrame, key: str, name: str) -> DataFrame:
     shape = F.concat_ws("|", "p.cls", "p.fixed", "p.legal", F.array_join(F.array_sort("p.words"), " "), F.array_join("p.initials", " "))
     empty = (F.size("p.words") == 0) & (F.size("p.initials") == 0) & (F.col("p.fixed") == "")
     forms = checkpoint(forms.select("key", F.sha2(F.when(empty, F.col("name")).otherwise(shape), 256).alias("form"), "p"))
-    reps = forms.groupBy("form").agg(F.min("p").alias("p"))
+    # short numbers for the forms: fixed once checkpointed, and all that the joins below move
+    reps = checkpoint(forms.groupBy("form").agg(F.min("p").alias("p")).withColumn("id", F.monotonically_increasing_id()))
 
-    words = reps.select("form", F.posexplode("p.words").alias("at", "word"))
-    counts = words.select("form", "word").distinct().groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("df"))
-    weighed = hot_key_lookup(words, "word", counts, "w", ["df"]).groupBy("form").agg(F.array_sort(F.collect_list(F.struct("at", "word", "df"))).alias("ws"))
-    weighed = reps.join(weighed, "form").select("form", F.struct("p.cls", "p.fixed", "p.legal", "p.initials", F.col("ws.word").alias("words"), F.col("ws.df").alias("dfs")).alias("n"))
+    words = reps.select("id", F.posexplode("p.words").alias("at", "word"))
+    counts = words.select("id", "word").distinct().groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("df"))
+    weighed = hot_key_lookup(words, "word", counts, "w", ["df"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "df"))).alias("ws"))
+    weighed = checkpoint(reps.join(weighed, "id").select("id", F.struct("p.cls", "p.fixed", "p.legal", "p.initials", F.col("ws.word").alias("words"), F.col("ws.df").alias("dfs")).alias("n")))
 
     @F.pandas_udf("array<struct<k1:string,k2:string,k3:string>>")
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([[dict(zip(("k1", "k2", "k3"), k)) for k in block_keys(c, f, list(w), list(i))] for c, f, w, i in zip(batch["cls"], batch["fixed"], batch["words"], batch["initials"])])
 
-    blocks = checkpoint(weighed.select("form", "n", F.explode(keys(F.struct("n.cls", "n.fixed", "n.words", "n.initials"))).alias("k")).select("form", "n", "k.*"))
-    blocks = _refined(_refined(blocks.withColumn("k", F.col("k1")), "k2"), "k3").select("k", "form", "n")
+    # a hash shared by chance only adds a pair to compare
+    keyed = weighed.select("id", F.explode(keys(F.struct("n.cls", "n.fixed", "n.words", "n.initials"))).alias("k"))
+    blocks = checkpoint(keyed.select("id", *[F.xxhash64(F.col(f"k.{k}")).alias(k) for k in ("k1", "k2", "k3")]))
+    blocks = _refined(_refined(blocks.withColumn("k", F.col("k1")), "k2"), "k3").select("k", "id")
+    pairs = blocks.join(blocks.withColumnRenamed("id", "id_b"), "k").where("id < id_b").select("id", "id_b").distinct()
 
     @F.pandas_udf("strength int, less string")
     def compared(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
         for left, right in batches:
-            pairs = zip(left.to_dict("records"), right.to_dict("records"))
-            yield pd.DataFrame([compare(a, b) for a, b in pairs], columns=["strength", "less"])
+            both = zip(left.to_dict("records"), right.to_dict("records"))
+            yield pd.DataFrame([compare(a, b) for a, b in both], columns=["strength", "less"])
 
-    other = blocks.select("k", F.col("form").alias("form_b"), F.col("n").alias("n_b"))
+    wide = pairs.join(weighed, "id").join(weighed.select(F.col("id").alias("id_b"), F.col("n").alias("n_b")), "id_b")
     conflict = (F.col("n.legal") != "") & (F.col("n_b.legal") != "") & (F.col("n.legal") != F.col("n_b.legal"))
-    pairs = blocks.join(other, "k").where((F.col("form") < F.col("form_b")) & ~conflict & (F.abs(F.size("n.words") - F.size("n_b.words")) <= 1)).dropDuplicates(["form", "form_b"])
-    links = checkpoint(pairs.select("form", "form_b", compared("n", "n_b").alias("c")).where("c.strength > 0").select("form", "form_b", "c.*"))
+    alike = wide.where(~conflict & (F.col("n.cls") == F.col("n_b.cls")) & (F.col("n.fixed") == F.col("n_b.fixed")) & (F.abs(F.size("n.words") - F.size("n_b.words")) <= 1))
+    links = checkpoint(alike.select("id", "id_b", compared("n", "n_b").alias("c")).where("c.strength > 0").select("id", "id_b", "c.*"))
 
-    roots = components(links.where("strength = 1"), "form", "form_b")
-    groups = reps.select("form").join(roots.withColumnRenamed("node", "form"), "form", "left").select("form", F.coalesce("root", "form").alias("group"))
+    roots = components(links.where("strength = 1"), "id", "id_b")
+    groups = reps.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("group"))
     for strength in (2, 3):
         groups = _attach(checkpoint(groups), links.where(F.col("strength") == strength))
-    return forms.select("key", "form").join(groups, "form").select(F.col("key").alias(key), F.col("group").alias("group_id"))
+    return forms.select("key", "form").join(reps.select("form", "id"), "form").join(groups, "id").select(F.col("key").alias(key), F.col("group").alias("group_id"))
 
 
 def _refined(blocks: DataFrame, finer: str) -> DataFrame:
     """Blocks in which keys that are still common have given way to the finer ones."""
     common = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > BLOCK).select(F.col("k").alias("common"))
-    return blocks.join(common, F.col("k") == F.col("common"), "left").withColumn("k", F.when(F.col("common").isNotNull(), F.concat(F.lit(f"{finer}|"), finer)).otherwise(F.col("k"))).drop("common")
+    return blocks.join(common, F.col("k") == F.col("common"), "left").withColumn("k", F.when(F.col("common").isNotNull(), F.col(finer)).otherwise(F.col("k"))).drop("common")
 
 
 def _attach(groups: DataFrame, links: DataFrame) -> DataFrame:
     """Join each group that lacks a part to the only group that has it; a group with several stays apart."""
-    less, more = F.when(F.col("less") == "a", F.col("form")).otherwise(F.col("form_b")), F.when(F.col("less") == "a", F.col("form_b")).otherwise(F.col("form"))
+    less, more = F.when(F.col("less") == "a", F.col("id")).otherwise(F.col("id_b")), F.when(F.col("less") == "a", F.col("id_b")).otherwise(F.col("id"))
     ends = links.select(less.alias("x"), more.alias("y"))
-    ends = ends.join(groups.select(F.col("form").alias("x"), F.col("group").alias("gx")), "x").join(groups.select(F.col("form").alias("y"), F.col("group").alias("gy")), "y").where("gx <> gy")
+    ends = ends.join(groups.select(F.col("id").alias("x"), F.col("group").alias("gx")), "x").join(groups.select(F.col("id").alias("y"), F.col("group").alias("gy")), "y").where("gx <> gy")
     only = checkpoint(ends.groupBy("gx").agg(F.min("gy").alias("to"), F.max("gy").alias("last")).where("to = last").select("gx", "to"))
     # a target that is itself attached takes its own along
     chain = only.join(only.select(F.col("gx").alias("to"), F.col("to").alias("beyond")), "to", "left").select("gx", F.when(F.col("beyond") == F.col("gx"), F.least("gx", "to")).otherwise(F.coalesce("beyond", "to")).alias("to"))
-    return groups.join(chain, F.col("group") == F.col("gx"), "left").select("form", F.coalesce("to", "group").alias("group"))
+    return groups.join(chain, F.col("group") == F.col("gx"), "left").select("id", F.coalesce("to", "group").alias("group"))
 
 
 def pairs_of_groups(groups: DataFrame, key: str, group: str) -> DataFrame:
