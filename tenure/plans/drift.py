@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.sources.drift import field_changes, replay, rescue
@@ -26,9 +26,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of the feeds once, as last delivered, in the shape of transfers."""
     lines = table(spark, sf_dir, "transfer_extract")
-    typed = replay(rescue(lines, "payload", TARGET), APPROVED).where("doc_id is not null")
-    last = Window.partitionBy("feed", "doc_id").orderBy(F.col("file_no").desc(), F.col("line_no").desc())
-    rows = typed.withColumn("__n", F.row_number().over(last)).where("__n = 1")
+    typed = replay(rescue(lines, "payload", TARGET), APPROVED)
+    # the last delivery as one state per document; told apart after the aggregate, so that no filter repeats the parsing
+    state = ["file_no", "line_no", "recorded_date", "doc_type_raw", "consideration", "percent_trans", "parcel_ids"]
+    last = typed.groupBy("feed", "doc_id").agg(F.max(F.struct(*state)).alias("s"), F.max(F.col("doc_id").isNotNull()).alias("known"))
+    rows = last.where("known").select("feed", "doc_id", "s.*")
     return rows.select(
         F.substring_index("feed", "_", 1).alias("metro_id"), "doc_id", "recorded_date", "doc_type_raw", "consideration", "percent_trans", F.array_join("parcel_ids", ";").alias("parcel_ids"), F.col("feed").alias("source_dataset"), F.col("file_no").cast("string").alias("source_version")
     )
