@@ -39,17 +39,18 @@ def plan_mixture(counted: DataFrame, source: str, weights: DataFrame) -> DataFra
     shares are scaled to sum to 1. The total is that of the corpus, or the largest at which no source needs
     more than max_repeats copies of a document: shares and repeats are kept exactly, the total gives way.
     """
-    have = counted.where("n_tokens > 0").groupBy(F.col(source).alias("source")).agg(F.sum("n_tokens").alias("corpus_tokens"), F.count(F.lit(1)).alias("corpus_docs"), F.max("n_tokens").alias("longest"))
-    corpus = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("corpus_total"))
+    have = counted.where("n_tokens > 0").groupBy(F.col(source).alias("source")).agg(F.sum("n_tokens").alias("corpus_tokens"), F.count(F.lit(1)).alias("corpus_docs"))
     known = weights.select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).join(have, "source", "left")
     usable = (F.coalesce(F.col("corpus_tokens"), F.lit(0)) > 0) & (F.col("target_share") > 0)
-    limits = known.where(usable).agg(F.sum("target_share").alias("usable_share"), F.min(F.col("max_repeats") * F.col("corpus_tokens") / F.col("target_share")).alias("least_cap"))
-    # one row each
-    limits = limits.crossJoin(corpus).select("usable_share", F.least(F.col("corpus_total").cast("double"), F.col("least_cap") * F.col("usable_share")).alias("draw_total"))
-    share = F.when(usable, F.col("target_share") / F.col("usable_share")).otherwise(0.0)
-    return known.crossJoin(F.broadcast(limits)).select(
-        "source", "target_share", "max_repeats", F.coalesce("corpus_tokens", F.lit(0)).alias("corpus_tokens"), F.coalesce("corpus_docs", F.lit(0)).alias("corpus_docs"), "draw_total", (share * F.col("draw_total")).alias("wanted_tokens"),
-        F.coalesce(F.try_divide(share * F.col("draw_total"), F.col("corpus_tokens").cast("double")), F.lit(0.0)).alias("copies"),
+    # three numbers over the table of sources and the counted documents
+    limits = known.where(usable).agg(F.sum("target_share").alias("share"), F.min(F.col("max_repeats") * F.col("corpus_tokens") / F.col("target_share")).alias("cap")).first()
+    corpus_total = counted.agg(F.sum("n_tokens")).first()[0] or 0
+    usable_share = limits["share"] or 1.0
+    draw_total = min(float(corpus_total), limits["cap"] * usable_share) if limits["cap"] is not None else 0.0
+    wanted = F.when(usable, F.col("target_share") / F.lit(usable_share)).otherwise(0.0) * F.lit(draw_total)
+    return known.select(
+        "source", "target_share", "max_repeats", F.coalesce("corpus_tokens", F.lit(0)).alias("corpus_tokens"), F.coalesce("corpus_docs", F.lit(0)).alias("corpus_docs"), wanted.alias("wanted_tokens"),
+        F.coalesce(F.try_divide(wanted, F.col("corpus_tokens").cast("double")), F.lit(0.0)).alias("copies"),
     )
 
 
@@ -77,12 +78,11 @@ def draw(counted: DataFrame, doc: str, source: str, plan: DataFrame, seed: int =
 def reached(drawn: DataFrame, source: str, plan: DataFrame) -> DataFrame:
     """The share of the drawn tokens that each source of the plan reached, and the repeats it took."""
     got = drawn.groupBy(F.col(source).alias("source")).agg(F.sum("n_tokens").alias("drawn_tokens"), F.count(F.lit(1)).alias("drawn_rows"), F.max("copy_no").alias("most_copies"))
-    whole = got.agg(F.sum("drawn_tokens").alias("__all"))
-    table = plan.join(got, "source", "left").crossJoin(F.broadcast(whole))
+    whole = got.agg(F.sum("drawn_tokens")).first()[0] or 0
     zero = F.lit(0)
-    return table.select(
+    return plan.join(got, "source", "left").select(
         "source", "target_share", "max_repeats", "corpus_tokens", F.coalesce("drawn_tokens", zero).alias("drawn_tokens"), F.coalesce("drawn_rows", zero).alias("drawn_rows"), F.coalesce("most_copies", zero).alias("most_copies"),
-        F.coalesce(F.try_divide(F.col("drawn_tokens").cast("double"), F.col("__all")), F.lit(0.0)).alias("reached_share"),
+        F.coalesce(F.try_divide(F.col("drawn_tokens").cast("double"), F.lit(float(whole))), F.lit(0.0)).alias("reached_share"),
     )
 
 

@@ -114,8 +114,8 @@ def find_truncated(docs: DataFrame, doc: str, source: str, text: str, limits: Da
     entries = entries.select(F.trim("line").alias("line")).where(F.col("line").rlike(r"^[^:\d]{1,30}:\s") & ~F.col("line").rlike(_TERMINAL) & (F.length("line") <= SHORT_LINE))
     closings = ends.where(F.col("form").isNotNull() & ~F.col("at_limit")).select("form", "token")
     seen = checkpoint(entries.select(_form(F.col("line")).alias("form"), _last_token(F.col("line")).alias("token")).unionByName(closings).groupBy("form", "token").agg(F.count(F.lit(1)).alias("times")))
-    texts = base.agg(F.count(F.lit(1)).alias("texts"))
-    forms = seen.groupBy("form").agg(F.sum("times").alias("times")).join(F.broadcast(texts)).where((F.col("times") >= FORM_LEAST) & (F.col("times") >= FORM_SHARE * F.col("texts"))).select("form")
+    least = max(FORM_LEAST, FORM_SHARE * named.count())
+    forms = seen.groupBy("form").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("form")
     tokens = seen.join(forms, "form").groupBy("token").agg(F.sum("times").alias("times")).where("times >= 2").select("token")
     verdict = ["doc", "source", "at_limit", "truncated"]
     short = ends.where(F.col("form").isNotNull()).join(forms.withColumn("known_form", F.lit(True)), "form", "left").join(tokens.withColumn("known_token", F.lit(True)), "token", "left")
