@@ -255,6 +255,9 @@ def variant_groups(names: DataFrame, key: str, name: str) -> DataFrame:
     wide = pairs.join(weighed, "id").join(weighed.select(F.col("id").alias("id_b"), F.col("n").alias("n_b")), "id_b")
     conflict = (F.col("n.legal") != "") & (F.col("n_b.legal") != "") & (F.col("n.legal") != F.col("n_b.legal"))
     alike = wide.where(~conflict & (F.col("n.cls") == F.col("n_b.cls")) & (F.col("n.fixed") == F.col("n_b.fixed")) & (F.abs(F.size("n.words") - F.size("n_b.words")) <= 1))
+    # where each has one word of its own, it must be close: most pairs end here, without Python
+    own_a, own_b = F.array_except("n.words", "n_b.words"), F.array_except("n_b.words", "n.words")
+    alike = alike.withColumns({"own_a": own_a, "own_b": own_b}).where((F.size("own_a") != 1) | (F.size("own_b") != 1) | (F.levenshtein(F.try_element_at("own_a", F.lit(1)), F.try_element_at("own_b", F.lit(1)), 2) >= 0))
     links = checkpoint(alike.select("id", "id_b", compared("n", "n_b").alias("c")).where("c.strength > 0").select("id", "id_b", "c.*"))
 
     roots = components(links.where("strength = 1"), "id", "id_b")
