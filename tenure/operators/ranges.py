@@ -22,6 +22,8 @@ from tenure.session import shuffle_partitions
 RANGE = "__range"
 #: Sampled rows per range from which the quantiles are taken; bounds what the driver receives.
 SAMPLE_PER_RANGE = 40
+#: Cuts up to which their search is compiled into the plan.
+FEW_CUTS = 128
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,11 @@ def range_cuts(df: DataFrame, columns: Sequence[str], ranges: int, seed: int = 7
 
 
 def range_of(df: DataFrame, columns: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """The number of the range a row falls into: a balanced tree of comparisons, log2(ranges) deep."""
+    """The number of the range a row falls into, by bisection: as many comparisons as log2(ranges).
+
+    A few cuts are a tree of CASEs, which compiles; many are one array literal that is searched, so that the
+    plan does not grow with the number of partitions.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
 
@@ -77,7 +83,16 @@ def range_of(df: DataFrame, columns: Sequence[str], cuts: Sequence[tuple]) -> Co
         middle = (low + high) // 2
         return F.when(row < literal(cuts[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
 
-    return tree(0, len(cuts))
+    if len(cuts) <= FEW_CUTS:
+        return tree(0, len(cuts))
+    table = F.array(*[literal(c) for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+
+    def search(passed: Column, step: Column) -> Column:
+        at = passed + step
+        return F.when((at <= len(cuts)) & (F.try_element_at(table, at) <= row), at).otherwise(passed)
+
+    return F.aggregate(steps, F.lit(0), search)
 
 
 def split_into_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:

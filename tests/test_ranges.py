@@ -49,6 +49,17 @@ def test_scan_equals_window(skewed):
     assert rows_of(got, "k", "o", "s", "m", "n") == rows_of(want, "k", "o", "s", "m", "n")
 
 
+def test_many_ranges(spark, skewed, monkeypatch):
+    """The search in an array literal gives each row the range that the compiled tree gives."""
+    from tenure.operators import ranges
+
+    cuts = range_cuts(skewed, ["k", "o"], 60)
+    tree = rows_of(skewed.withColumn("r", ranges.range_of(skewed, ["k", "o"], cuts)), "k", "o", "r")
+    monkeypatch.setattr(ranges, "FEW_CUTS", 3)
+    assert rows_of(skewed.withColumn("r", ranges.range_of(skewed, ["k", "o"], cuts)), "k", "o", "r") == tree
+    assert len({r[2] for r in tree}) == len(cuts) + 1
+
+
 def test_empty(spark, skewed):
     empty = skewed.limit(0)
     assert ranged_aggregate(empty, ["k"], ["o"], {"n": Scan("sum", F.lit(1))}).count() == 0
