@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.sources.drift import field_changes, replay, rescue
-from tenure.session import table
+from tenure.sources.drift import ingested_changes, replay, rescue
+from tenure.session import checkpoint, table
 
 TARGET = {"doc_id": "string", "recorded_date": "date", "doc_type_raw": "string", "consideration": "double", "percent_trans": "double", "parcel_ids": "array<string>"}
 #: Fields approved for promotion, per column of transfers.
@@ -20,7 +20,8 @@ APPROVED = {
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_changes(table(spark, sf_dir, "transfer_extract"))
+    """Every change of a feed's fields, read from the ingested table: typed columns, _rescued and _kinds."""
+    return ingested_changes(checkpoint(rescue(table(spark, sf_dir, "transfer_extract"), "payload", TARGET)), TARGET)
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:

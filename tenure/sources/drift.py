@@ -33,17 +33,6 @@ def json_kind(value: Column) -> Column:
     )
 
 
-def plain_value(value: Column, kind: Column) -> Column:
-    """A variant as text in which notation and type no longer show; null where nothing is left.
-
-    A list is its members joined by ";"; an object its ``code`` or else its members. Currency signs,
-    thousands separators, trailing places of zeros, leading zeros, a midnight and case are dropped.
-    """
-    text = F.to_json(value)
-    inner = bound(F.from_json(text, "map<string,string>"), lambda m: F.coalesce(F.try_element_at(m, F.lit("code")), F.array_join(F.map_values(m), ";")))
-    return plain_text(F.when(kind == "list", F.array_join(F.from_json(text, "array<string>"), ";")).when(kind == "object", inner).otherwise(value.cast("string")))
-
-
 def plain_text(raw: Column) -> Column:
     return bound(F.lower(squeeze(raw)), _plain)
 
@@ -63,19 +52,51 @@ def _plain(s: Column) -> Column:
     return blank_to_null(s)
 
 
-def exploded_fields(lines: DataFrame, payload: str, keep: Sequence[str], document: str | None) -> DataFrame:
-    """keep, doc (plain text of the document field), key, kind, plain: a row per top-level field of a line."""
-    v = F.try_parse_json(payload)
-    read = lines.select(*keep, v.alias("__v")).where(F.schema_of_variant("__v").startswith("OBJECT"))
-    if document is not None:
-        read = read.withColumn("__doc", plain_text(F.try_variant_get("__v", f"$['{document}']", "string")))
-    read.createOrReplaceTempView("__drift_lines")
-    names = ", ".join(f"l.`{c}`" for c in [*keep, *(["__doc"] if document is not None else [])])
-    fields = read.sparkSession.sql(f"select {names}, f.key as key, f.value as value from __drift_lines l, lateral variant_explode(l.__v) f")
-    return fields.withColumn("kind", json_kind(F.col("value")))
+def raw_plain(raw: Column, kind: Column) -> Column:
+    """A field's JSON text, as in ``_rescued``, as text in which notation and type no longer show; null where nothing is left.
 
+    A list is its members joined by ";"; an object its ``code`` or else its members. Currency signs,
+    thousands separators, trailing places of zeros, leading zeros, a midnight and case are dropped.
+    """
+    inner = bound(F.from_json(raw, "map<string,string>"), lambda m: F.coalesce(F.try_element_at(m, F.lit("code")), F.array_join(F.map_values(m), ";")))
+    return plain_text(F.when(kind == "list", F.array_join(F.from_json(raw, "array<string>"), ";")).when(kind == "object", inner).otherwise(raw))
+
+
+def typed_plain(value: Column, kind: str) -> Column:
+    """The plain text of a typed column's value."""
+    if kind == "array<string>":
+        return plain_text(F.array_join(value, ";"))
+    if kind in ("double", "float"):
+        return plain_text(F.coalesce(value.try_cast("decimal(38,18)").cast("string"), value.cast("string")))
+    return plain_text(value.cast("string"))
 
-def field_changes(lines: DataFrame, feed: str = "feed", file_no: str = "file_no", payload: str = "payload", document: str = "document_id") -> DataFrame:
+
+def ingested_fields(ingested: DataFrame, keep: Sequence[str], target: Mapping[str, str], document: str) -> DataFrame:
+    """keep, __doc_raw, __doc_typed, __doc_kind (the document field), key, kind, raw, typed: a row per top-level field of an ingested line.
+
+    Presence and type come from ``_kinds``; a value's raw text from ``_rescued``, else its plain text from the
+    typed column that took it.
+    """
+    typed = F.create_map(*[c for name, kind in target.items() for c in (F.lit(name), typed_plain(F.col(name), kind))]) if target else F.lit(None).cast("map<string,string>")
+    doc = F.lit(document)
+    read = ingested.where(F.col("_kinds").isNotNull()).select(*keep, "_kinds", F.from_json("_rescued", "map<string,string>").alias("__rest"), typed.alias("__typed"))
+    fields = read.select(*keep, "__rest", "__typed", F.try_element_at("_kinds", doc).alias("__doc_kind"), F.explode("_kinds").alias("key", "kind"))
+    at = lambda m, key: F.try_element_at(m, key)
+    return fields.select(*keep, at("__rest", doc).alias("__doc_raw"), at("__typed", doc).alias("__doc_typed"), "__doc_kind", "key", "kind", at("__rest", F.col("key")).alias("raw"), at("__typed", F.col("key")).alias("typed"))
+
+
+def held_plain(raw: Column, kind: Column, typed: Column) -> Column:
+    """The plain text of a field: what is rescued goes before the typed value, which may be rounded."""
+    return F.when(raw.isNotNull(), raw_plain(raw, kind)).otherwise(typed)
+
+
+def field_changes(lines: DataFrame, feed: str = "feed", file_no: str = "file_no", payload: str = "payload", document: str = "document_id", target: Mapping[str, str] | None = None) -> DataFrame:
+    """``ingested_changes`` of lines that are not ingested yet."""
+    source = lines.select(F.col(feed).alias("feed"), F.col(file_no).alias("file_no"), F.col(payload).alias("payload"))
+    return ingested_changes(checkpoint(rescue(source, "payload", target or {})), target or {}, document=document)
+
+
+def ingested_changes(ingested: DataFrame, target: Mapping[str, str], feed: str = "feed", file_no: str = "file_no", document: str = "document_id") -> DataFrame:
     """(feed, file_no, change_kind, field_name, new_field_name): what changed from file_no - 1 to file_no.
 
     added, removed, renamed (field_name left, new_field_name came, and over the documents of both files the
@@ -83,11 +104,12 @@ def field_changes(lines: DataFrame, feed: str = "feed", file_no: str = "file_no"
     exactly. Files are those with a readable line; a file whose predecessor is missing has no changes. A
     field without non-null values has no type. Repeated lines weigh once. Null feeds or numbers are left out.
 
+    Read from the table that ``rescue`` makes for the target: ``_kinds``, ``_rescued`` and the typed columns.
     Field statistics combine before the shuffle; values meet only for fields that came or went, one row per
     document and pair of such fields.
     """
-    source = lines.where(F.col(feed).isNotNull() & F.col(file_no).isNotNull()).select(F.col(feed).alias("feed"), F.col(file_no).cast("bigint").alias("file_no"), F.col(payload).alias("payload"))
-    fields = exploded_fields(source, "payload", ["feed", "file_no"], document)
+    source = ingested.where(F.col(feed).isNotNull() & F.col(file_no).isNotNull()).select(F.col(feed).alias("feed"), F.col(file_no).cast("bigint").alias("file_no"), "_kinds", "_rescued", *target)
+    fields = ingested_fields(source, ["feed", "file_no"], target, document)
 
     def kind_of(kinds: Column) -> Column:
         """One name for the kinds of a field's values: integers among decimals are decimals."""
@@ -112,12 +134,12 @@ def field_changes(lines: DataFrame, feed: str = "feed", file_no: str = "file_no"
     went = moved.where("before").select("feed", (F.col("file_no") - 1).alias("file_no"), "key", F.lit(1).alias("back"))
     came = moved.where("now").select("feed", "file_no", "key", F.lit(0).alias("back"))
     values = (
-        fields.where(F.col("kind").isNotNull() & F.col("__doc").isNotNull())
+        fields.where(F.col("kind").isNotNull() & F.col("__doc_kind").isNotNull())
         .join(went.unionByName(came), ["feed", "file_no", "key"])
-        .select("feed", (F.col("file_no") + F.col("back")).alias("file_no"), "__doc", "key", "back", plain_value(F.col("value"), F.col("kind")).alias("plain"))
-        .where("plain is not null")
-        .groupBy("feed", "file_no", "__doc", "key", "back")
+        .withColumns({"__doc": held_plain(F.col("__doc_raw"), F.col("__doc_kind"), F.col("__doc_typed")), "plain": held_plain(F.col("raw"), F.col("kind"), F.col("typed"))})
+        .groupBy("feed", (F.col("file_no") + F.col("back")).alias("file_no"), "__doc", "key", "back")
         .agg(F.max("plain").alias("plain"))
+        .where("__doc is not null and plain is not null")
     )
     old = values.where("back = 1").select("feed", "file_no", "__doc", F.col("key").alias("old_key"), F.col("plain").alias("old_plain"))
     new = values.where("back = 0").select("feed", "file_no", "__doc", F.col("key").alias("new_key"), F.col("plain").alias("new_plain"))
@@ -148,18 +170,22 @@ def rescue(lines: DataFrame, payload: str, target: Mapping[str, str]) -> DataFra
 
     A field goes to the target column of its exact name if its value casts (``list<string>`` columns take
     lists, or text whose members are separated by ";"). Unknown fields, and known ones whose value does not
-    cast, stay in ``_rescued`` with their raw value; null if there are none. Unreadable lines keep all
+    cast, stay in ``_rescued`` with their raw value; null if there are none. A value that its column cannot give
+    back (more digits than a double holds) is in the column and in ``_rescued``. ``_kinds`` maps every top-level
+    field of the line to the type it came with, null for a JSON null. Unreadable lines keep all
     columns null and their text in ``_unreadable``. Other columns of the lines pass through; those named
-    like a target field or starting with ``_rescued``/``_unreadable`` are replaced.
+    like a target field or named ``_rescued``, ``_unreadable`` or ``_kinds`` are replaced.
     """
-    clashing = [c for c in lines.columns if c in target or c in ("_rescued", "_unreadable")]
+    clashing = [c for c in lines.columns if c in target or c in ("_rescued", "_unreadable", "_kinds")]
     v = F.try_parse_json(F.col(payload))
     readable = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     kept = [F.col(c) for c in lines.columns if c not in clashing and c != payload]
     fields = F.when(readable, F.from_json(F.to_json(v), "map<string,string>"))
-    read = lines.select(*kept, F.when(~readable, F.col(payload)).alias("_unreadable"), fields.alias("__fields"))
+    kinds = F.when(readable, F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, value: json_kind(value)))
+    read = lines.select(*kept, F.when(~readable, F.col(payload)).alias("_unreadable"), kinds.alias("_kinds"), fields.alias("__fields"))
     read = read.select("*", *[_typed(F.try_element_at("__fields", F.lit(name)), kind).alias(name) for name, kind in target.items()])
-    return _keep_rest(read, "__fields", {name: [name] for name in target}).drop("__fields")
+    whole = {name: typed_plain(F.col(name), kind).eqNullSafe(raw_plain(F.try_element_at("__fields", F.lit(name)), F.try_element_at("_kinds", F.lit(name)))) for name, kind in target.items()}
+    return _keep_rest(read, "__fields", {name: [name] for name in target}, whole).drop("__fields")
 
 
 def replay(rescued: DataFrame, approved: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
@@ -192,11 +218,12 @@ def _cast(raw: Column, kind: str) -> Column:
     return plain_text(code).try_cast(kind)
 
 
-def _keep_rest(df: DataFrame, fields: str, taken: Mapping[str, Sequence[str]]) -> DataFrame:
-    """_rescued: the fields that no typed column has taken."""
-    took = F.array(*[F.when(F.col(name).isNotNull(), F.array(*[F.lit(s) for s in sources])).otherwise(F.array().cast("array<string>")) for name, sources in taken.items()])
+def _keep_rest(df: DataFrame, fields: str, taken: Mapping[str, Sequence[str]], whole: Mapping[str, Column] | None = None) -> DataFrame:
+    """_rescued: the fields that no typed column has taken, or not taken whole."""
+    if not taken:
+        return df.withColumn("_rescued", F.when(F.size(fields) > 0, F.to_json(fields)))
+    whole = whole or {}
+    took = F.array(*[F.when(F.col(name).isNotNull() & whole.get(name, F.lit(True)), F.array(*[F.lit(s) for s in sources])).otherwise(F.array().cast("array<string>")) for name, sources in taken.items()])
     names = F.flatten(took)
     rest = F.map_filter(fields, lambda k, value: ~F.array_contains(names, k))
     return df.withColumn("_rescued", F.when(F.size(rest) > 0, F.to_json(rest)))
-
-

@@ -102,3 +102,24 @@ def test_report_equals_plain_recomputation(spark, small):
         want |= {(feed, no, "type_changed", b, "") for a, b in pairs if fields[0][a] and fields[1][b] and fields[0][a] != fields[1][b]}
     got = {tuple(r) for r in field_changes(df).collect()}
     assert got == want
+
+
+def test_report_comes_from_the_ingested_table(spark, small):
+    """p6_found says nothing but what typed columns, _rescued and _kinds hold, and the same with any target."""
+    from tenure.plans.drift import p6_found
+    from tenure.sources.drift import ingested_changes
+
+    df = spark.read.parquet(f"{small}/transfer_extract.parquet")
+    want = {tuple(r) for r in field_changes(df).collect()}
+    assert {tuple(r) for r in p6_found(spark, small).collect()} == want
+    table = rescue(df, "payload", TARGET).drop("payload").checkpoint()
+    assert {tuple(r) for r in ingested_changes(table, TARGET).collect()} == want
+
+
+def test_typed_columns_lose_no_change(spark):
+    """A renamed field is found across typed column and rescue, whatever its notation; what a column cannot hold whole stays."""
+    values = [("12345678901234567890.12", "$12,345,678,901,234,567,890.12"), ("1e5", "1e5"), (0.1, "0.1"), (10000000, "10,000,000.00"), (5.0, "5")]
+    one = [{"document_id": str(i), "consideration": a, "parcel_ids": "a;;b", "recorded_date": "07/03/2021"} for i, (a, _) in enumerate(values)]
+    two = [{"document_id": str(i), "amt": b, "ids": "a;;b", "recorded_on": "2021-07-03T00:00:00"} for i, (_, b) in enumerate(values)]
+    got = sorted((r["change_kind"], r["field_name"], r["new_field_name"]) for r in field_changes(lines(spark, {1: one, 2: two}), target=TARGET).collect())
+    assert got == [("renamed", "consideration", "amt"), ("renamed", "parcel_ids", "ids"), ("renamed", "recorded_date", "recorded_on"), ("type_changed", "amt", "")]
