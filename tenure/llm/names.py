@@ -14,8 +14,8 @@ from tenure.llm.components import components
 from tenure.operators.joins import hot_key_lookup
 from tenure.session import checkpoint
 
-#: Letters of the suffixes by which words are indexed, and the block size from which a key is refined.
-SUFFIX, BLOCK = 5, 64
+#: The block size from which a key is refined.
+BLOCK = 64
 
 # Everyday short forms of given names.
 NICKNAMES = {
@@ -100,20 +100,76 @@ def parse(name: str) -> tuple[str, str, str, list[str], list[str]]:
     return cls, " ".join(sorted(fixed)), legal, words, sorted(initials)
 
 
-def block_keys(cls: str, fixed: str, words: list[str], initials: list[str]) -> list[tuple[str, str, str]]:
-    """Keys of the blocks a name stands in, each with its two refinements.
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
 
-    A key is the suffix of one word and the first letter of another part, beside what must be equal; refined
-    it has the first four letters of the other part, then also the first three of the word itself.
+
+def _hashes(word: str) -> set[int]:
+    """Hashes of a word and of all that is left of it without one letter; short words have only their own.
+
+    Two words are equal but for one letter added, lost, changed or moved if and only if they share such a rest.
+    """
+    tails = [(0, 1)]
+    for ch in reversed(word):
+        value, power = tails[-1]
+        tails.append(((ord(ch) * power + value) % _PRIME, power * _BASE % _PRIME))
+    found, before = {tails[-1][0]}, 0
+    if len(word) >= 4:
+        for i, ch in enumerate(word):
+            value, power = tails[len(word) - 1 - i]
+            found.add((before * power + value) % _PRIME)
+            before = (before * _BASE + ord(ch)) % _PRIME
+    return found
+
+
+def _hash(text: str) -> int:
+    value = 0
+    for ch in text:
+        value = (value * _BASE + ord(ch)) % _PRIME
+    return value
+
+
+def word_keys(cls: str, fixed: str, words: list[str]) -> tuple[list[int], list[list[int]]]:
+    """A key per word beside the number of words, and per word the hashes by which a mistyped one is found.
+
+    Of names that link with as many words, one word is equal and every other has one like it: a common key
+    may be refined by the hashes of any other word, and again by the next, and no pair is parted. A single
+    word may itself be mistyped: its keys are its hashes.
     """
-    keys = set()
-    parts = [*words, *initials]
-    for i, word in enumerate(words):
-        others = {p for j, p in enumerate(parts) if j != i} or {""}
-        for other in others:
-            base = f"{cls}|{fixed}|{word[-SUFFIX:]}|"
-            keys.add((base + other[:1], base + other[:4], f"{base}{other[:4]}|{word[:3]}"))
-    return sorted(keys)
+    base = _hash(f"{cls}|{fixed}|{len(words)}|")
+    near = [sorted(_hashes(w)) for w in words]
+    if len(words) == 1:
+        return [(base * 31 + h) % _PRIME for h in near[0]], near
+    return [(base * 31 + _hash(w)) % _PRIME for w in words], near
+
+
+def side_keys(cls: str, fixed: str, words: list[str], initials: list[str]) -> tuple[list[int], list[int]]:
+    """Keys of a name as the one with a word less, and as the one with a word more: pairs meet across the two.
+
+    All other words are equal. One name has the initial of the other's word, or two words run together.
+    """
+    less, more = set(), set()
+
+    def base(kind: str, left_out: tuple[int, ...]) -> int:
+        return _hash("|".join([kind, cls, fixed, *sorted(w for j, w in enumerate(words) if j not in left_out)]))
+
+    if cls in ("person", "couple") and words:
+        less |= {(base("I", ()) * 31 + ord(i)) % _PRIME for i in initials}
+        more |= {(base("I", (j,)) * 31 + ord(w[0])) % _PRIME for j, w in enumerate(words)} if len(words) > 1 else set()
+    for j, w in enumerate(words):
+        if len(w) >= 6:
+            start = base("J", (j,)) * 31
+            less |= {(start + h) % _PRIME for h in _hashes(w)}
+        for i in range(j):
+            if len(words[i]) + len(w) >= 6:
+                start = base("J", (i, j)) * 31
+                more |= {(start + h) % _PRIME for h in _hashes(words[i] + w)}
+    return sorted(less), sorted(more)
+
+
+def block_keys(cls: str, fixed: str, words: list[str], initials: list[str]) -> list[tuple[int, str]]:
+    """All keys of a name, each with its role: word, less or more."""
+    less, more = side_keys(cls, fixed, words, initials)
+    return [(k, role) for role, ks in (("word", word_keys(cls, fixed, words)[0]), ("less", less), ("more", more)) for k in ks]
 
 
 def common_length(a: str, b: str) -> int:
@@ -155,7 +211,7 @@ def compare(a: dict, b: dict) -> tuple[int, str]:
     1: the same but for typos and spacing; 2: one lacks a middle initial or the legal form of the other;
     3: one has only the initial of a given name; 0: different owners.
     """
-    if a["legal"] and b["legal"] and a["legal"] != b["legal"]:
+    if (a["legal"] and b["legal"] and a["legal"] != b["legal"]) or not len(a["words"]) or not len(b["words"]):
         return 0, ""
     lacks = {"a": 0, "b": 0}
     if a["legal"] != b["legal"]:
@@ -207,9 +263,10 @@ def compare(a: dict, b: dict) -> tuple[int, str]:
 def variant_groups(names: DataFrame, key: str, name: str) -> DataFrame:
     """(key, group_id) for every row with a key and a name that is not blank; equal keys must not repeat.
 
-    Names of one canonical form (order, short forms, nicknames, fillers) collapse first. Suffix blocking finds
-    the pairs: words are indexed by their suffix together with a letter of another part and all parts that
-    must be equal; blocks that are still common are refined by more letters, twice, and none is dropped.
+    Names of one canonical form (order, short forms, nicknames, fillers) collapse first. Names meet by a word
+    they share and all parts that must be equal; a common block is refined by what is left of another word
+    without any one letter, word after word, which parts no pair that can link. Names with a word less meet
+    those with a word more by all their other words and the initial, or the two words run together.
     Pairs are compared word by word by the longest common subsequence, with the corpus' word frequencies
     telling a typo from another word. Names that differ by typos alone link transitively. A name that lacks a
     part (middle initial, legal form, given name but for its initial) joins the one group that has it, or none
@@ -235,16 +292,22 @@ def variant_groups(names: DataFrame, key: str, name: str) -> DataFrame:
     weighed = hot_key_lookup(words, "word", counts, "w", ["df"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "df"))).alias("ws"))
     weighed = checkpoint(reps.join(weighed, "id").select("id", F.struct("p.cls", "p.fixed", "p.legal", "p.initials", F.col("ws.word").alias("words"), F.col("ws.df").alias("dfs")).alias("n")))
 
-    @F.pandas_udf("array<struct<k1:string,k2:string,k3:string>>")
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @F.pandas_udf("n int, ks array<bigint>, at array<int>, near array<bigint>, less array<bigint>, more array<bigint>")
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.Series([[dict(zip(("k1", "k2", "k3"), k)) for k in block_keys(c, f, list(w), list(i))] for c, f, w, i in zip(batch["cls"], batch["fixed"], batch["words"], batch["initials"])])
+            rows = [(c, f, list(w), list(i)) for c, f, w, i in zip(batch["cls"], batch["fixed"], batch["words"], batch["initials"])]
+            out = []
+            for c, f, w, i in rows:
+                ks, near = word_keys(c, f, w)
+                out.append((len(w), ks, [at for at, hs in enumerate(near) for _ in hs], [h for hs in near for h in hs], *side_keys(c, f, w, i)))
+            yield pd.DataFrame(out, columns=["n", "ks", "at", "near", "less", "more"])
 
     # a hash shared by chance only adds a pair to compare
-    keyed = weighed.select("id", F.explode(keys(F.struct("n.cls", "n.fixed", "n.words", "n.initials"))).alias("k"))
-    blocks = checkpoint(keyed.select("id", *[F.xxhash64(F.col(f"k.{k}")).alias(k) for k in ("k1", "k2", "k3")]))
-    blocks = _refined(_refined(blocks.withColumn("k", F.col("k1")), "k2"), "k3").select("k", "id")
-    pairs = blocks.join(blocks.withColumnRenamed("id", "id_b"), "k").where("id < id_b").select("id", "id_b").distinct()
+    keyed = checkpoint(weighed.select("id", keys(F.struct("n.cls", "n.fixed", "n.words", "n.initials")).alias("k")).select("id", "k.*"))
+    less, more = keyed.select("id", F.explode("less").alias("k")), keyed.select(F.col("id").alias("id_b"), F.explode("more").alias("k"))
+    across = less.join(more, "k").select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b"))
+    blocks = _refined(keyed)
+    pairs = blocks.join(blocks.withColumnRenamed("id", "id_b"), "k").where("id < id_b").select("id", "id_b").unionByName(across).where("id < id_b").distinct()
 
     @F.pandas_udf("strength int, less string")
     def compared(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
@@ -255,9 +318,9 @@ def variant_groups(names: DataFrame, key: str, name: str) -> DataFrame:
     wide = pairs.join(weighed, "id").join(weighed.select(F.col("id").alias("id_b"), F.col("n").alias("n_b")), "id_b")
     conflict = (F.col("n.legal") != "") & (F.col("n_b.legal") != "") & (F.col("n.legal") != F.col("n_b.legal"))
     alike = wide.where(~conflict & (F.col("n.cls") == F.col("n_b.cls")) & (F.col("n.fixed") == F.col("n_b.fixed")) & (F.abs(F.size("n.words") - F.size("n_b.words")) <= 1))
-    # where each has one word of its own, it must be close: most pairs end here, without Python
+    # of as many words where each has one of its own, it must be close: most pairs end here, without Python
     own_a, own_b = F.array_except("n.words", "n_b.words"), F.array_except("n_b.words", "n.words")
-    alike = alike.withColumns({"own_a": own_a, "own_b": own_b}).where((F.size("own_a") != 1) | (F.size("own_b") != 1) | (F.levenshtein(F.try_element_at("own_a", F.lit(1)), F.try_element_at("own_b", F.lit(1)), 2) >= 0))
+    alike = alike.withColumns({"own_a": own_a, "own_b": own_b}).where((F.size("n.words") != F.size("n_b.words")) | (F.size("own_a") != 1) | (F.size("own_b") != 1) | (F.levenshtein(F.try_element_at("own_a", F.lit(1)), F.try_element_at("own_b", F.lit(1)), 2) >= 0))
     links = checkpoint(alike.select("id", "id_b", compared("n", "n_b").alias("c")).where("c.strength > 0").select("id", "id_b", "c.*"))
 
     roots = components(links.where("strength = 1"), "id", "id_b")
@@ -267,10 +330,22 @@ def variant_groups(names: DataFrame, key: str, name: str) -> DataFrame:
     return forms.select("key", "form").join(reps.select("form", "id"), "form").join(groups, "id").select(F.col("key").alias(key), F.col("group").alias("group_id"))
 
 
-def _refined(blocks: DataFrame, finer: str) -> DataFrame:
-    """Blocks in which keys that are still common have given way to the finer ones."""
-    common = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > BLOCK).select(F.col("k").alias("common"))
-    return blocks.join(common, F.col("k") == F.col("common"), "left").withColumn("k", F.when(F.col("common").isNotNull(), F.col(finer)).otherwise(F.col("k"))).drop("common")
+def _refined(keyed: DataFrame) -> DataFrame:
+    """(k, id): the keys of names; those that are common are refined by one more word until no word is left."""
+    path = F.transform("ks", lambda k, i: F.struct(k.alias("k"), F.array(F.when(F.col("n") == 1, 0).otherwise(i)).alias("path")))
+    near = keyed.select("id", F.explode(F.arrays_zip("at", "near")).alias("o")).select("id", "o.at", F.col("o.near").alias("h"))
+    open_ = checkpoint(keyed.select("id", "n", F.explode(path).alias("p")).select("id", "n", "p.k", "p.path"))
+    done = None
+    while True:
+        common = open_.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > BLOCK).select("k", F.lit(True).alias("common"))
+        marked = checkpoint(open_.join(common, "k", "left").withColumn("common", F.col("common").isNotNull() & (F.size("path") < F.col("n"))))
+        rest = marked.where("not common").select("k", "id").distinct()
+        done = rest if done is None else done.unionByName(rest)
+        hot = marked.where("common")
+        if hot.isEmpty():
+            return done
+        finer = hot.join(near, "id").where(~F.array_contains("path", F.col("at")))
+        open_ = checkpoint(finer.select("id", "n", F.xxhash64("k", "h").alias("k"), F.array_append("path", F.col("at")).alias("path")))
 
 
 def _attach(groups: DataFrame, links: DataFrame) -> DataFrame:

@@ -56,6 +56,20 @@ def test_blocks_lose_no_pair(spark):
             assert keys[a] & keys[b], (a, b)
 
 
+def test_refined_blocks_lose_no_pair(spark, monkeypatch):
+    """Common blocks part no pair that links: the same groups if every block of two is common, and in a block of over 64."""
+    rows = [(n, n) for g in SAME for n in g]
+    monkeypatch.setattr(names, "BLOCK", 1)
+    assert groups(names.variant_groups(spark.createDataFrame(rows, "id string, name string"), "id", "name"), "id", "group_id") == sorted(sorted(g) for g in SAME)
+    monkeypatch.undo()
+    others = [f"J{a}{b}{c}QUAV SMITH" for a in "BCDF" for b in "GKLMN" for c in "PRTVZ"]
+    rare = ["JOHN SMITH", "JHON SMITH", "DARO K SMITH", "DARO SMITH", "XOLIVER SMITH", "X SMITH", "OLIVERTA SMITH", "LIVERTAO SMITH"]
+    rows = [(n, n) for n in others + rare]
+    got = groups(names.variant_groups(spark.createDataFrame(rows, "id string, name string"), "id", "name"), "id", "group_id")
+    for pair in zip(rare[::2], rare[1::2]):
+        assert sorted(pair) in got
+
+
 def test_no_names(spark):
     empty = names.variant_groups(spark.createDataFrame([], "id string, name string"), "id", "name")
     assert empty.count() == 0 and names.pairs_of_groups(empty, "id", "group_id").count() == 0
