@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.text import is_blank, squeeze
 from tenure.llm.components import components
-from tenure.llm.names import common_length
+from tenure.llm.names import _hashes, common_length
 from tenure.session import checkpoint
 
 #: City names learned from the data that are sent to the tasks, the most frequent ones.
@@ -169,21 +169,37 @@ def _split_last(text: str) -> tuple[str, str, str]:
     return text[:best].strip(" ,-"), text[best], text[best:].strip(" ,-")
 
 
-def keys(p: dict) -> list[tuple[str, str, str]]:
-    """Hashed combinations of parts, each with two refinements for blocks that are common.
+def keys(p: dict) -> list[str]:
+    """Combinations of parts by which addresses meet; none for an address without number and box.
 
-    All hold the house or box number. Begin and end of the street stand for its whole name, so that one wrong
-    letter leaves one of them whole; the postcode stands in for both.
+    All hold the house and box number, beside the street without any one letter, which two streets that differ
+    by a letter share, or the postcode, which stands in for the street. No pair that compares is parted.
     """
-    found = []
-    if p["box"]:
-        found += [("B" + p["box"], "", p["zip"] or p["city"])]
-    if p["num"]:
-        street = p["street"]
-        found += [(f"P{p['num']}|{street[:3]}", street[:6], p["zip"] or p["city"]), (f"S{p['num']}|{street[-3:]}", street[-6:], p["zip"] or p["city"])]
-        if p["zip"]:
-            found += [(f"Z{p['num']}|{p['zip']}", street[:1], street[:3])]
-    return found
+    if not p["num"] and not p["box"]:
+        return []
+    base = f"{p['num']}|{p['box']}|"
+    return [f"S{base}{h}" for h in sorted(_hashes(p["street"]))] + ([f"Z{base}{p['zip']}"] if p["zip"] and len(p["street"]) >= 7 else [])
+
+
+#: Parts that must be equal where both have them; of a postcode its digits in order, as two may be swapped.
+_FIRM = ("unit", "state", "digits")
+
+
+def _refined(keyed: DataFrame) -> DataFrame:
+    """(k, mine, other, id): common blocks by the firm parts that both sides of a pair have.
+
+    In a common block every form stands once for each set of parts that its partner may have: the key holds the
+    values of the parts that both have, mine is the set of the form, other that of its partner. A form without
+    a part so meets all that have one.
+    """
+    common = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > BLOCK).select("k", F.lit(True).alias("common"))
+    marked = checkpoint(keyed.join(common, "k", "left"))
+    rest = marked.where("common is null").select("k", F.lit(0).alias("mine"), F.lit(0).alias("other"), "form")
+    mine = sum((F.when(F.col(c) != "", 1 << i).otherwise(0) for i, c in enumerate(_FIRM)), F.lit(0))
+    sides = marked.where("common").select("k", "form", *_FIRM, mine.alias("mine"), F.explode(F.array(*[F.lit(i) for i in range(1 << len(_FIRM))])).alias("other"))
+    both = F.col("mine").bitwiseAND(F.col("other"))
+    held = [F.when(both.bitwiseAND(F.lit(1 << i)) != 0, F.col(c)).otherwise("") for i, c in enumerate(_FIRM)]
+    return rest.unionByName(sides.select(F.xxhash64("k", *held).alias("k"), "mine", "other", "form"))
 
 
 def _close(a: str, b: str) -> bool:
@@ -246,7 +262,7 @@ def locations(register: DataFrame, entry: str, address: str, city: str, state: s
     """(entry, location_id) for every entry with an address that is not blank.
 
     Addresses are parsed in their plausible readings and equal forms collapse. Hashes of combinations of parts
-    are exploded and joined; candidates whose house or box numbers, units, types, directions or places conflict
+    are exploded and joined, common ones by the parts that both sides have; candidates whose house or box numbers, units, types, directions or places conflict
     are rejected. Forms that differ by a letter of street or city, or two swapped digits of the postcode, are one. A form that lacks parts
     joins a location if it is the only one that has the rest: decided on whole groups, in rounds, so that what
     a group has learned from one member counts for all. Null and blank addresses, and those without number and
@@ -268,17 +284,22 @@ def locations(register: DataFrame, entry: str, address: str, city: str, state: s
     # short numbers for the forms: fixed once checkpointed, and all that the joins below move
     forms = checkpoint(entries.groupBy(F.col("form").alias("hash")).agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("times")).withColumn("form", F.monotonically_increasing_id()))
 
-    @F.pandas_udf("array<struct<k1:string,k2:string,k3:string>>")
+    @F.pandas_udf("array<string>")
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[dict(zip(("k1", "k2", "k3"), k)) for k in keys(p)] for p in batch.to_dict("records")])
-
-    blocks = checkpoint(forms.select("form", F.explode(hashed("p")).alias("k")).select("form", *[F.xxhash64(F.col("k.k1"), *[F.col(f"k.{x}") for x in more]).alias(name) for name, more in (("k", ()), ("k2", ("k2",)), ("k3", ("k2", "k3")))]))
-    for finer in ("k2", "k3"):
-        common = blocks.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > BLOCK).select(F.col("k").alias("common"))
-        blocks = blocks.join(common, F.col("k") == F.col("common"), "left").withColumn("k", F.when(F.col("common").isNotNull(), F.col(finer)).otherwise(F.col("k"))).drop("common")
-    blocks = blocks.select("k", "form")
-    pairs = checkpoint(blocks.join(blocks.withColumnRenamed("form", "form_b"), "k").where("form < form_b").select("form", "form_b").distinct())
+            yield pd.Series([keys(p) for p in batch.to_dict("records")])
+
+    digits = F.array_join(F.array_sort(F.split("p.zip", "")), "")
+    keyed = checkpoint(forms.select("form", "p.unit", "p.state", digits.alias("digits"), F.explode(hashed("p")).alias("k")).withColumn("k", F.xxhash64("k")))
+    blocks = _refined(keyed)
+    partners = blocks.select("k", F.col("other").alias("mine"), F.col("mine").alias("other"), F.col("form").alias("form_b"))
+    met = blocks.join(partners, ["k", "mine", "other"]).where("form < form_b").select("form", "form_b").distinct()
+    # parts that conflict need no comparing
+    firm = forms.select("form", F.struct("p.dir", "p.kind", "p.unit", "p.state").alias("f"))
+    met = met.join(firm, "form").join(firm.select(F.col("form").alias("form_b"), F.col("f").alias("g")), "form_b")
+    for part in ("dir", "kind", "unit", "state"):
+        met = met.where((F.col(f"f.{part}") == F.col(f"g.{part}")) | (F.col(f"f.{part}") == "") | (F.col(f"g.{part}") == ""))
+    pairs = checkpoint(met.select("form", "form_b"))
 
     @F.pandas_udf("string")
     def compared(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:

@@ -105,6 +105,26 @@ def test_addresses(spark):
     assert got == sorted([*want, ["text"], ["long"]])
 
 
+def test_common_address_blocks_lose_no_pair(spark):
+    """In a tower of over 64 units, forms without postcode or unit's place still meet the one with it; so does a street's slip."""
+    tower = [[f"1 BRANDOVER ST STE {n}, NORTH KESTEN IL 93897"] for n in range(500, 580)]
+    tower[0] += ["1 BRANDOVER STREET STE 500", "1 BRANDOVER STREET STE 500, NORTH KESTEN", "1 BRANDVOER ST STE 500, NORTH KESTEN IL"]
+    boxes = [[f"PO BOX 7, PL{chr(65 + n // 9) * 2}{'BCDFGHKLM'[n % 9] * 2}OT IL {60001 + 37 * n if n else 99999}"] for n in range(90)]
+    boxes[0] += ["POB 7 IL 99999"]
+    places = [*tower, *boxes]
+    frame = spark.createDataFrame([(a, a, None, None, None) for g in places for a in g], "id string, a string, city string, state string, zip string")
+    got = groups(addresses.locations(frame, "id", "a", "city", "state", "zip"), "id", "location_id")
+    assert sorted(tower[0]) in got and sorted(boxes[0]) in got
+
+
+def test_linked_addresses_share_a_key():
+    gazetteer = addresses.Gazetteer(["NORTH KESTEN"])
+    streets = ["BRANDOVER", "BRANDVOER", "RBANDOVER", "BRNDOVER", "BRANDOVERR", "XRANDOVEY", "MAIN", "MAINS", "AMIN"]
+    parsed = [addresses.parse(f"1 {s} ST", "NORTH KESTEN", "IL", z, gazetteer) for s in streets for z in ("", "93897")]
+    for a, b in combinations(parsed, 2):
+        assert not addresses.compare(a, b) or set(addresses.keys(a)) & set(addresses.keys(b)), (a, b)
+
+
 def test_no_addresses(spark):
     frame = spark.createDataFrame([], "id string, a string, city string, state string, zip string")
     assert addresses.locations(frame, "id", "a", "city", "state", "zip").count() == 0
