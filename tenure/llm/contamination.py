@@ -20,7 +20,7 @@ BLOCK_CHARS = 8_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _BREAK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr)\b[^<>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _HYPHEN = re.compile(r"([^\W_]+)[-‐‑][ \t]*(?:\r\n|\r|\n)\s*([^\W_]+)")
 
 

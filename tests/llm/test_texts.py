@@ -14,6 +14,11 @@ RNG = random.Random(11)
 VOCABULARY = [f"w{i}" for i in range(30)]
 
 
+def test_long_inline_tags_leave_no_words():
+    href = "https://example.org/" + "x" * 300
+    assert contamination.words(f'the <a href="{href}" class="a b c">old</a> mill') == ["the", "old", "mill"]
+
+
 def test_words():
     assert contamination.words("The <b>old</b> mill-\nrace, near A&amp;B;<br>l'acte N° 5_6") == ["the", "old", "millrace", "near", "a", "b", "l", "acte", "n", "5", "6"]
     assert contamination.words("forty-\nsix par-\n tition", {"forty": 0, "six": 1, "partition": 2}) == ["forty", "six", "partition"]
