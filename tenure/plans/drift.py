@@ -37,7 +37,14 @@ def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_found": p6_found, "p6_table": p6_table}
+def p6_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p6_table leaves out, per line: fields that no column took, unreadable text, lines without document id."""
+    typed = replay(rescue(table(spark, sf_dir, "transfer_extract"), "payload", TARGET), APPROVED)
+    kept = checkpoint(typed.select("feed", "file_no", "line_no", F.col("_rescued").alias("rescued"), F.col("_unreadable").alias("unreadable"), F.col("doc_id").isNull().alias("no_document")))
+    return kept.where("rescued is not null or unreadable is not null or no_document")
+
+
+QUERIES = {"p6_found": p6_found, "p6_table": p6_table, "p6_rescued": p6_rescued}
 
 
 def _first(names: list[str]) -> str:

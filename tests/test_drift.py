@@ -123,3 +123,13 @@ def test_typed_columns_lose_no_change(spark):
     two = [{"document_id": str(i), "amt": b, "ids": "a;;b", "recorded_on": "2021-07-03T00:00:00"} for i, (_, b) in enumerate(values)]
     got = sorted((r["change_kind"], r["field_name"], r["new_field_name"]) for r in field_changes(lines(spark, {1: one, 2: two}), target=TARGET).collect())
     assert got == [("renamed", "consideration", "amt"), ("renamed", "parcel_ids", "ids"), ("renamed", "recorded_date", "recorded_on"), ("type_changed", "amt", "")]
+
+
+def test_what_the_table_leaves_out_is_returned(spark, tmp_path):
+    from tenure.plans.drift import QUERIES
+
+    payloads = ['{"document_id":"1","sale_price":"none","odd":1}', "-- end --", '{"amt":5}', '{"document_id":"2","amt":5}']
+    rows = [("nyc_a", 1, n, p) for n, p in enumerate(payloads)]
+    spark.createDataFrame(rows, "feed string, file_no int, line_no int, payload string").write.parquet(f"{tmp_path}/transfer_extract.parquet")
+    got = {r["line_no"]: (r["rescued"], r["unreadable"], r["no_document"]) for r in QUERIES["p6_rescued"](spark, str(tmp_path)).collect()}
+    assert got == {0: ('{"odd":"1","sale_price":"none"}', None, False), 1: (None, "-- end --", True), 2: (None, None, True)}
