@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tenure.functions.text import blank_to_null, strip
+
 # Phrases written one way, in this order.
 NAME_PHRASES = [
     (r"\bLIMITED LIABILITY COMPANY\b", "LLC"), (r"\bLIMITED LIABILITY CO\b", "LLC"), (r"\bLTD LIABILITY COMPANY\b", "LLC"), (r"\bLTD LIABILITY CO\b", "LLC"), (r"\bL\s*L\s*C\b", "LLC"),
@@ -15,6 +17,8 @@ NAME_PHRASES = [
 ]
 # Later parts of a name that make it an estate's.
 ESTATE_PARTS = ["LWT", "DEF", "EST", "ESTATE", "EST OF", "ESTATE OF"]
+# Marks of a care-of line.
+CARE_OF = r"^(C/O|C O|CARE OF)\b"
 # end of fixed values
 
 #: Rules for examples and tests, (rule, class, pattern): the first that matches decides. Users bring their own.
@@ -25,9 +29,12 @@ RULES = [
 
 
 def clean_name(c: Column) -> Column:
-    """Upper case letters, digits, &, /, - and single spaces, with the phrases above written one way; "" for null."""
-    s = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[.,]", " ")
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^A-Z0-9&/ \-]", ""), r"\s+", " "))
+    """Upper case letters, digits, &, /, - and single spaces, with the phrases above written one way; "" for null.
+
+    Every other character is a space: O'BRIEN is two words.
+    """
+    s = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^A-Z0-9&/ -]+", " ")
+    s = F.trim(F.regexp_replace(s, r"\s+", " "))
     for pattern, written in NAME_PHRASES:
         s = F.regexp_replace(s, pattern, written)
     return F.trim(F.regexp_replace(s, r"\s+", " "))
@@ -58,15 +65,20 @@ def blank_owner_key(clean: Column) -> Column:
     return F.when(clean == "", "").otherwise(owner_key(clean))
 
 
+def _stripped(parts: Sequence[Column]) -> Column:
+    """The parts that are not blank, stripped, with a space between, in upper case."""
+    return F.upper(F.concat_ws(" ", *[blank_to_null(strip(p)) for p in parts]))
+
+
 def clean_address(*parts: Column) -> Column:
-    """The parts joined, upper case, without punctuation and without a leading care-of mark."""
-    s = F.upper(F.concat_ws(" ", *parts))
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^A-Z0-9/ ]", " "), r"\s+", " "))
-    return F.trim(F.regexp_replace(s, r"^(C/O|C O|CARE OF)\b\s*", ""))
+    """The parts joined, upper case, without punctuation but / and -, and without a leading care-of mark."""
+    s = F.trim(F.regexp_replace(F.regexp_replace(_stripped(parts), r"[^A-Z0-9/ -]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(s, CARE_OF, ""))
 
 
 def is_care_of(*parts: Column) -> Column:
-    return F.trim(F.upper(F.concat_ws(" ", *parts))).rlike(r"^(C/O|C O|CARE OF)\b")
+    """Whether the joined parts begin with a care-of mark; dots count as spaces."""
+    return F.replace(_stripped(parts), F.lit("."), F.lit(" ")).rlike(CARE_OF)
 
 
 def address_key(clean: Column) -> Column:
@@ -84,10 +96,10 @@ def classify(clean: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Co
 
 
 def register(spark: SparkSession) -> None:
-    """clean_key and blank-safe keys as SQL functions of the session."""
-    phrases = "upper(regexp_replace(coalesce(n, ''), '[.,]', ' '))"
-    phrases = f"trim(regexp_replace(regexp_replace({phrases}, '[^A-Z0-9&/ \\\\\\\\-]', ''), '\\\\\\\\s+', ' '))"
+    """clean_name and owner_key as SQL functions of the session, written as the columns above."""
+    spaces = r"regexp_replace({}, r'\s+', ' ')"
+    clean = "trim(" + spaces.format("regexp_replace(upper(coalesce(n, '')), r'[^A-Z0-9&/ -]+', ' ')") + ")"
     for pattern, written in NAME_PHRASES:
-        phrases = f"regexp_replace({phrases}, '{pattern}', '{written}')".replace(pattern, pattern.replace("\\", "\\\\"))
-    spark.sql(f"create or replace temporary function clean_name(n string) returns string return trim(regexp_replace({phrases}, '\\\\s+', ' '))".replace("\\\\\\\\", "\\\\"))
+        clean = f"regexp_replace({clean}, r'{pattern}', '{written}')"
+    spark.sql(f"create or replace temporary function clean_name(n string) returns string return trim({spaces.format(clean)})")
     spark.sql("create or replace temporary function owner_key(n string) returns string return left(sha2(clean_name(n), 256), 16)")

@@ -40,8 +40,12 @@ def date_of_parts(year: Column, month: Column) -> Column:
     return F.when(y.between(1800, 9999) & m.between(1, 12), F.make_date(y.cast("int"), m.cast("int"), F.lit(1)))
 
 
+#: Texts that mean yes.
+YES = ["true", "t", "1", "yes"]
+
+
 def truthy(c: Column) -> Column:
-    return F.coalesce(F.lower(strip(c)).isin("true", "t", "1", "yes", "y"), F.lit(False))
+    return F.coalesce(F.lower(strip(c)).isin(*YES), F.lit(False))
 
 
 def lookup(c: Column, table: Mapping[str, object]) -> Column:

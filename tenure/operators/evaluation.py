@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.scalars import ratio
+from tenure.operators.ranges import Scan, ranged_scan
 
 
 def confusion(df: DataFrame, truth: str, guess: str, labels: Sequence[str]) -> DataFrame:
@@ -54,7 +57,13 @@ def bootstrap_corrected(cells: tuple[int, int, int, int], observed: float, resam
     share = np.sort(share[np.isfinite(share)])
     if not len(share):
         return (float("nan"), float("nan"))
-    return float(share[int(np.floor(0.025 * (len(share) - 1)))]), float(share[int(np.ceil(0.975 * (len(share) - 1)))])
+    low, high = interval_places(len(share))
+    return float(share[low]), float(share[high])
+
+
+def interval_places(n: int, alpha: float = 0.05) -> tuple[int, int]:
+    """Where the ends of a percentile interval stand among n sorted values, from 0."""
+    return math.floor(alpha / 2 * n), min(n - 1, math.ceil((1 - alpha / 2) * n) - 1)
 
 
 def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, total: int, seed: str = "s") -> DataFrame:
@@ -63,16 +72,23 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, total: int
     Rows are ordered by a hash of seed and key, so the sample is the same at every run and partitioning.
     """
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__size"))
-    whole = sizes.agg(F.sum("__size").alias("__all"))
-    quotas = sizes.join(F.broadcast(whole)).withColumn("__quota", F.greatest(F.lit(1), F.floor(F.col("__size") * F.lit(float(total)) / F.col("__all") + F.lit(0.5))))
-    turn = Window.partitionBy(*strata).orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key)
-    return df.withColumn("__turn", F.row_number().over(turn)).join(quotas.select(*strata, "__quota"), list(strata)).where("__turn <= __quota").select(*df.columns)
+    whole = max(1, df.count())
+    quotas = sizes.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], F.greatest(F.lit(1), F.floor(F.col("__size") * F.lit(float(total)) / F.lit(float(whole)) + F.lit(0.5))).alias("__quota"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(strata)])
+    return _ranked(df, strata, key, seed).join(quotas, same).where("__turn <= __quota").select(*df.columns)
 
 
 def halves(df: DataFrame, stratum: str, key: str, seed: str = "s") -> DataFrame:
-    """df with split: dev or test, half of each stratum each, by hash order."""
-    turn = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key)
-    return df.withColumn("split", F.when(F.ntile(2).over(turn) == 1, "dev").otherwise("test"))
+    """df with split: dev or test, half of each stratum each, by hash order; of an odd number the larger half is dev."""
+    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.ceil(F.count(F.lit(1)) / 2).alias("__half"))
+    ranked = _ranked(df, [stratum], key, seed).join(sizes, F.col(stratum).eqNullSafe(F.col("__s")))
+    return ranked.select(*df.columns, F.when(F.col("__turn") <= F.col("__half"), "dev").otherwise("test").alias("split"))
+
+
+def _ranked(df: DataFrame, strata: Sequence[str], key: str, seed: str) -> DataFrame:
+    """df with __turn, the place of a row in the hash order of its stratum: worked in ranges, a large stratum is no long task."""
+    hashed = df.withColumn("__order", F.sha2(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit(""))), 256))
+    return ranged_scan(hashed, strata, ["__order", key], {"__turn": Scan("sum", F.lit(1))})
 
 
 def leaked_columns(df: DataFrame, forbidden: Iterable[str]) -> list[str]:

@@ -120,6 +120,31 @@ def clean_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "acris_parties").select(*parts).distinct().select(*parts, clean.alias("address"), names.address_key(clean).alias("address_key"), names.is_care_of(*parts).alias("care_of"))
 
 
+#: Names and addresses as typed, with what the rules make of them, worked out by hand; the SQL gives these results.
+NAME_CASES = [
+    ("O'BRIEN", "O BRIEN"), ("A\tB", "A B"), ("St.Mary's  Hall,Inc.", "ST MARY S HALL INC"), ("D#1 @ 2", "D 1 2"), ("smith-jones & co/est of", "SMITH-JONES & CO/EST OF"), ("L.L.C", "LLC"), ("Acme L L C", "ACME LLC"), ("Acme, Ltd. Liability Co.", "ACME LLC"),
+    ("The Doe Living  Trust", "THE DOE TRUST"), ("Doe Ttee", "DOE TRUSTEE"), ("DOE TR'UST", "DOE TRUST"), ("P.C. Law", "PC LAW"), ("Zoë", "ZO"), ("", ""), (None, ""), ("'", ""),
+]
+ADDRESS_CASES = [
+    ("12-34 Main St.", "12-34 MAIN ST", False), ("C.O. X, 1 Elm", "X 1 ELM", True), ("c/o  Bob, 1 Elm", "BOB 1 ELM", True), ("Care of Bob", "BOB", True), ("COX 1", "COX 1", False), ("C. O. X", "X", False), ("1 O'Dell #4/5", "1 O DELL 4/5", False),
+    (" care  of Bob", "BOB", False), ("", "", False), (None, "", False), ("C/O", "", True),
+]
+
+
+def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(NAME_CASES)], "case_no int, raw string")
+    return rows.select("case_no", names.clean_name(F.col("raw")).alias("name"))
+
+
+def address_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, raw) for i, (raw, *_) in enumerate(ADDRESS_CASES)], "case_no int, raw string")
+    return rows.select("case_no", names.clean_address(F.col("raw")).alias("address"), names.is_care_of(F.col("raw")).alias("care_of"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def first_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, sf_dir).groupBy(scalars.first_token(F.col("name_raw")).alias("token")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -176,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stock_by_class, stock_by_type, stock_by_geo_type_suppressed, stock_grouping_sets, stock_headlines, corrected_headlines, type_rates, mix_adjusted, neighborhood_rollup, top_neighborhoods, name_coalesced, opacity_by_type, top_owners,
-        clean_names, owner_parts, classified_counts, clean_addresses, first_tokens, scalar_functions, confusion_matrix, class_scores, macro_f1, sens_spec, stratified_sample, split_assign, bootstrap_interval,
+        clean_names, owner_parts, classified_counts, clean_addresses, name_cases, address_cases, first_tokens, scalar_functions, confusion_matrix, class_scores, macro_f1, sens_spec, stratified_sample, split_assign, bootstrap_interval,
     )
 }
 
@@ -207,7 +232,19 @@ _HEAD = f"""with {_P},
           from b left join p on series = 'all' or building_type in ('sfr_1_4', 'condo_unit')),
     h as (select series, with_trusts, count(*) as parcels, cast(sum(u) as bigint) as units, count(*) filter (where e) as entity_parcels, cast(coalesce(sum(u) filter (where e), 0) as bigint) as entity_units from x group by 1, 2)"""
 _RATES = "select building_type, cast(sum(coalesce(res_units, 0)) as bigint) as units, cast(coalesce(sum(res_units) filter (where owner_class in ('llc', 'corp', 'partnership')), 0) as bigint) as entity_units from p {} group by 1"
-_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(upper(coalesce({}, '')), '[.,]', ' ', 'g'), '[^A-Z0-9&/ \-]', '', 'g'), '\s+', ' ', 'g'))"
+_CLEAN = r"trim(regexp_replace(regexp_replace(upper(coalesce({}, '')), '[^A-Z0-9&/ -]', ' ', 'g'), '\s+', ' ', 'g'))"
+_JOINED = "upper(concat_ws(' ', {}))"
+_SQUEEZED = r"trim(regexp_replace(regexp_replace({}, '[^A-Z0-9/ -]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def clean_address_sql(*columns: str) -> str:
+    joined = _JOINED.format(", ".join(f"nullif(trim({c}), '')" for c in columns))
+    return rf"trim(regexp_replace({_SQUEEZED.format(joined)}, '^(C/O|C O|CARE OF)\b', ''))"
+
+
+def care_of_sql(*columns: str) -> str:
+    joined = _JOINED.format(", ".join(f"nullif(trim({c}), '')" for c in columns))
+    return rf"regexp_matches(replace({joined}, '.', ' '), '^(C/O|C O|CARE OF)\b')"
 
 
 def _clean_sql(column: str) -> str:
@@ -253,9 +290,11 @@ ORACLE = {
     "clean_names": f"with {_W} select name_raw, name, left(sha256(name), 16) as owner_key, case when name = '' then '' else left(sha256(name), 16) end as blank_owner_key from k",
     "owner_parts": f"with {_W} select name_raw, coalesce({_PARTS}[1], '') as primary_name, cast(len({_PARTS}) as int) as n_parts, {_ESTATE} as is_estate from k",
     "classified_counts": f"with {_W} select {_RULE} as rule_id, {_CLASS} as owner_class, count(*) as n from k group by 1, 2",
-    "clean_addresses": r"""with d as (select distinct address_1, city, state, zip, upper(concat_ws(' ', address_1, city, state, zip)) as s from acris_parties),
-        c as (select *, trim(regexp_replace(trim(regexp_replace(regexp_replace(s, '[^A-Z0-9/ ]', ' ', 'g'), '\s+', ' ', 'g')), '^(C/O|C O|CARE OF)\b\s*', '')) as address from d)
-        select address_1, city, state, zip, address, case when address = '' then '' else left(sha256(address), 16) end as address_key, regexp_matches(trim(s), '^(C/O|C O|CARE OF)\b') as care_of from c""",
+    "clean_addresses": f"""with d as (select distinct address_1, city, state, zip from acris_parties),
+        c as (select *, {clean_address_sql('address_1', 'city', 'state', 'zip')} as address, {care_of_sql('address_1', 'city', 'state', 'zip')} as care_of from d)
+        select address_1, city, state, zip, address, case when address = '' then '' else left(sha256(address), 16) end as address_key, care_of from c""",
+    "name_cases": "select * from (values " + ", ".join(f"({i}, {_quoted(want)})" for i, (_, want) in enumerate(NAME_CASES)) + ") v(case_no, name)",
+    "address_cases": "select * from (values " + ", ".join(f"({i}, {_quoted(want)}, {care})" for i, (_, want, care) in enumerate(ADDRESS_CASES)) + ") v(case_no, address, care_of)",
     "first_tokens": rf"with {_W} select split_part(trim(regexp_replace(upper(coalesce(name_raw, '')), '[,\s]+', ' ', 'g')), ' ', 1) as token, count(*) as n from w group by 1",
     "scalar_functions": r"""with d as (select distinct parcel_id, snapshot_date, res_units, source_version, geo_tract, geo_borough from parcels_snapshot)
         select *, case when length(cast(res_units as varchar)) >= 4 then cast(res_units as varchar) else lpad(cast(res_units as varchar), 4, '0') end as padded, res_units + 0.7e0 as number, cast(null as bigint) as no_number, snapshot_date as us_date,

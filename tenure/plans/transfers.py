@@ -211,7 +211,7 @@ QUERIES = {
 
 # SQL
 
-from tenure.plans.ownership import _clean_sql  # noqa: E402
+from tenure.plans.ownership import _clean_sql, clean_address_sql  # noqa: E402
 
 _D = """d as (select * from (select *, row_number() over (partition by doc_id order by source_version desc nulls last, recorded_date desc nulls last, metro_id desc nulls last, doc_date desc nulls last, doc_type_raw desc nulls last, doc_type_canonical desc nulls last,
         consideration desc nulls last, percent_trans desc nulls last, parcel_ids desc nulls last, source_dataset desc nulls last) as rn from transfers) where rn = 1)"""
@@ -235,7 +235,7 @@ def _flow_sql(groups: str) -> str:
         select *, round(entity_sales * 1e0 / nullif(sales, 0), 6) as sale_share, round(entity_units * 1e0 / nullif(units, 0), 6) as unit_share from t"""
 
 
-_CO = rf"co as (select left(sha256({_clean_sql('name')}), 16) as owner_key, trim(regexp_replace(trim(regexp_replace(regexp_replace(upper(concat_ws(' ', address_1, zip)), '[^A-Z0-9/ ]', ' ', 'g'), '\s+', ' ', 'g')), '^(C/O|C O|CARE OF)\b\s*', '')) as address from acris_parties where trim(coalesce(name, '')) <> '' and address_1 is not null)"
+_CO = rf"co as (select left(sha256({_clean_sql('name')}), 16) as owner_key, {clean_address_sql('address_1', 'zip')} as address from acris_parties where trim(coalesce(name, '')) <> '' and address_1 is not null)"
 _KP = "e as (select distinct least(owner_key_a, owner_key_b) as a, greatest(owner_key_a, owner_key_b) as b from owner_link where trim(coalesce(owner_key_a, '')) <> '' and trim(coalesce(owner_key_b, '')) <> '' and owner_key_a <> owner_key_b)"
 _CC = f"with recursive {_KP}, s as (select a, b from e union select b, a from e), r(k, c) as (select a, a from s union select s.b, r.c from r join s on s.a = r.k), g as (select k as node, min(c) as root from r group by k)"
 ORACLE = {

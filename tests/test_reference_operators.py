@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import names, scalars
 from tenure.operators import evaluation, flow, graph, relational, shares
-from tenure.plans import registry
+from tenure.plans import ownership, registry
 from tenure.sources import tables
 from tenure.streaming import latest
 
@@ -21,7 +21,7 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("raw", "clean"), [("Brook & Co., L.L.C.", "BROOK & CO LLC"), ("x limited liability company", "X LLC"), ("A  Trst", "A TRUST"), ("acme Incorporated", "ACME INC"), (None, ""), ("é#1", "1")])
+@pytest.mark.parametrize(("raw", "clean"), [("Brook & Co., L.L.C.", "BROOK & CO LLC"), ("x limited liability company", "X LLC"), ("A  Trst", "A TRUST"), ("acme Incorporated", "ACME INC"), (None, ""), ("é#1", "1"), ("O'BRIEN", "O BRIEN"), ("A\tB", "A B")])
 def test_clean_name(spark, raw, clean):
     assert one(spark, names.clean_name(F.col("v")), v=raw) == clean
 
@@ -38,6 +38,14 @@ def test_name_keys_and_parts(spark):
 def test_sql_functions(spark):
     names.register(spark)
     assert spark.sql("select clean_name('Brook & Co., L.L.C.') as a, owner_key('') as b").first() == ("BROOK & CO LLC", "e3b0c44298fc1c14")
+    for raw, clean in ownership.NAME_CASES:
+        assert spark.sql("select clean_name(:raw) as x", args={"raw": raw}).first()["x"] == clean
+
+
+def test_name_and_address_cases(spark):
+    for i, raw in enumerate(ownership.name_cases(spark, "").orderBy("case_no").collect()):
+        assert raw["name"] == ownership.NAME_CASES[i][1]
+    assert [(r["address"], r["care_of"]) for r in ownership.address_cases(spark, "").orderBy("case_no").collect()] == [(a, c) for _, a, c in ownership.ADDRESS_CASES]
 
 
 def test_scalars(spark):
@@ -48,7 +56,8 @@ def test_scalars(spark):
     assert one(spark, scalars.to_date(c), v="2020-02-03T10:00") == date(2020, 2, 3) and one(spark, scalars.date_of_parts(c, F.col("w")), v="2020", w="13") is None
     assert one(spark, scalars.count_of(c), v="Two") == 2 and one(spark, scalars.count_of(c), v="0") is None
     assert one(spark, scalars.join_parts(c, F.col("w")), v=" ", w="x ") == "x" and one(spark, scalars.first_token(c), v=" Doe, Jane") == "DOE"
-    assert one(spark, scalars.truthy(c), v=" TRUE") and not one(spark, scalars.truthy(c), v=None)
+    assert one(spark, scalars.truthy(c), v=" TRUE") and not one(spark, scalars.truthy(c), v=None) and not one(spark, scalars.truthy(c), v="y")
+    assert evaluation.interval_places(1000) == (25, 974) and evaluation.interval_places(1) == (0, 0)
 
 
 def test_share_table_drops_null_groups_and_guards_zero(spark):
