@@ -12,9 +12,9 @@ from tenure.session import checkpoint
 
 def star_links(df: DataFrame, member: str, shared: str) -> DataFrame:
     """(a, b): every member of a group with the group's least member, k - 1 links for k members, not all pairs."""
-    rows = df.where(~is_blank(F.col(member)) & ~is_blank(F.col(shared))).select(F.col(member).alias("m"), F.col(shared).alias("s")).distinct()
+    rows = checkpoint(df.where(~is_blank(F.col(member)) & ~is_blank(F.col(shared))).select(F.col(member).alias("m"), F.col(shared).alias("s")).distinct())
     least = rows.groupBy("s").agg(F.min("m").alias("a"))
-    return rows.join(least, "s").where("m <> a").select("a", F.col("m").alias("b")).distinct()
+    return hot_key_lookup(rows, "s", least, "s", ["a"]).where("m <> a").select("a", F.col("m").alias("b")).distinct()
 
 
 def denylist(df: DataFrame, member: str, shared: str, least_degree: int, seeds: DataFrame | None = None) -> DataFrame:
@@ -44,15 +44,16 @@ def star_components(edges: DataFrame) -> DataFrame:
     while True:
         ways = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = hot_key_lookup(ways, "u", low, "u", ["m"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.where("u <> v")
+        # moved: whether a link came to another end than it had; a round without is the last
+        large = hot_key_lookup(ways, "u", low, "u", ["m"]).where("v > u").groupBy(F.col("v").alias("u"), F.col("m").alias("v")).agg(F.max(F.col("m") != F.col("u")).alias("moved"))
+        down = checkpoint(large.where("u <> v"))
         floor = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = hot_key_lookup(down, "u", floor, "u", ["m"]).select(F.explode(F.array(F.struct(F.col("v").alias("x")), F.struct(F.col("u").alias("x")))).alias("e"), "m").select(F.col("e.x").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = checkpoint(small.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            stars = after.select(F.col("b").alias("node"), F.col("a").alias("root"))
-            return stars.unionByName(after.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
-        edges = after
+        ends = F.array(F.struct(F.col("v").alias("x"), (F.col("moved") | (F.col("v") != F.col("m"))).alias("moved")), F.struct(F.col("u").alias("x"), F.col("moved").alias("moved")))
+        small = hot_key_lookup(down, "u", floor, "u", ["m"]).select(F.explode(ends).alias("e"), "m").where("e.x <> m")
+        edges = checkpoint(small.groupBy(F.col("m").alias("a"), F.col("e.x").alias("b")).agg(F.max("e.moved").alias("moved")))
+        if edges.where("moved").isEmpty():
+            stars = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            return stars.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
 def component_sizes(membership: DataFrame, keep: DataFrame | None = None) -> DataFrame:

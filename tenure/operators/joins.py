@@ -7,21 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The most frequent keys of the left side are spread: so many keys, over so many parts each.
-HOT_KEYS, PARTS = 256, 32
+from tenure.session import shuffle_partitions
 
+#: Parts over which the rows of a hot key are spread, and the share of a partition from which a key is hot.
+PARTS, HOT_SHARE = 32, 0.25
 
-def hot_key_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, values: Sequence[str], hot_keys: int = HOT_KEYS, parts: int = PARTS) -> DataFrame:
+
+def hot_keys(df: DataFrame, key: str, least: int = PARTS) -> list:
+    """The keys that alone fill a good part of an even partition: at most partitions / HOT_SHARE of them, however many rows there are."""
+    rows = df.where(F.col(key).isNotNull())
+    limit = max(least, int(HOT_SHARE * rows.count() / shuffle_partitions(df.sparkSession)))
+    return [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(key).collect()]
+
+
+def hot_key_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, values: Sequence[str], parts: int = PARTS) -> DataFrame:
     """left with the values of right's row of that key, or nulls; right must hold a key once.
 
-    Rows of the ``hot_keys`` most frequent keys of left are salted over ``parts`` parts, and right's rows of
-    those keys repeated as often: ``hot_keys * parts`` extra rows at most, so that no task meets more than a
-    part of any key. Null keys find nothing. Values must not be columns of left.
+    Rows of the hot keys of left are salted over ``parts`` parts, and right's rows of those keys repeated as
+    often, so that no task meets more than a part of any key. Null keys find nothing. Values must not be
+    columns of left. left is read to find the hot keys: it should be cheap to read again.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
-    # a bounded list; keys that are rare would only be repeated for nothing
-    hot = F.broadcast(counts.where(F.col("__n") > parts).orderBy(F.desc("__n"), "__hot").limit(hot_keys).select("__hot"))
-    salted = left.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__part", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int"))).drop("__hot")
-    side = right.select(F.col(right_key).alias("__k"), *values).join(hot, F.col("__k") == F.col("__hot"), "left")
-    side = side.withColumn("__p", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(parts - 1))))).drop("__hot")
-    return salted.join(side, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left").select(*left.columns, *values)
+    side = right.select(F.col(right_key).alias("__k"), *values)
+    hot = hot_keys(left, key, parts)
+    if not hot:
+        return left.join(side, F.col(key) == F.col("__k"), "left").select(*left.columns, *values)
+    known = F.array(*[F.lit(h) for h in hot])
+    salt = F.when(F.array_contains(known, F.col(key)), F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")).otherwise(0)
+    copies = F.when(F.array_contains(known, F.col("__k")), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    salted, spread = left.withColumn("__part", salt), side.withColumn("__p", F.explode(copies))
+    return salted.join(spread, (F.col(key) == F.col("__k")) & (F.col("__part") == F.col("__p")), "left").select(*left.columns, *values)
