@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.text import is_blank
@@ -14,8 +14,12 @@ from tenure.llm.components import components
 from tenure.operators.joins import hot_key_lookup
 from tenure.session import checkpoint
 
-#: The block size from which a key is refined.
-BLOCK = 64
+#: The least length of a suffix in the index, the size from which a suffix is common and refined, and the length from which a word may be mistyped.
+LEAST_SUFFIX, BLOCK, LEAST_WORD = 3, 64, 4
+#: Words up to this length are indexed by all their suffixes.
+ALL_SUFFIXES = 64
+#: The share of a word's names that must occur with the other spelling for it to be a slip of it.
+SLIP_SHARE = 0.5
 
 # Everyday short forms of given names.
 NICKNAMES = {
@@ -27,8 +31,6 @@ NICKNAMES = {
     "BECKY": "REBECCA", "RICK": "RICHARD", "RICH": "RICHARD", "DICK": "RICHARD", "BOB": "ROBERT", "BOBBY": "ROBERT", "ROB": "ROBERT", "SAM": "SAMUEL", "STEVE": "STEPHEN", "SUE": "SUSAN", "SUSIE": "SUSAN",
     "TED": "THEODORE", "THEO": "THEODORE", "TOM": "THOMAS", "TOMMY": "THOMAS", "VICKY": "VICTORIA", "VICKI": "VICTORIA", "WALT": "WALTER", "BILL": "WILLIAM", "BILLY": "WILLIAM", "WILL": "WILLIAM",
 }
-# Given names that differ by a letter.
-ALIKE = "ALAN ALANA ANNA ANNE CARL CARLA CARLO CARLOS CHRISTIAN CHRISTINA CLAUDIA CLAUDIO DANIEL DANIELA ERIC ERICA GABRIEL GABRIELA IRENA IRENE JOAN JOANN JOANNE JOHN JOSE JULIA JULIE JULIO LEON LEONA LUIS LUISA MARIA MARIE MARIO MARTIN MARTINA MICHAEL MICHAELA PAUL PAULA PAULO ROBERT ROBERTA SILVIA SILVIO STEPHAN STEPHEN STEVEN VICTOR VICTORIA".split()
 # Words of company and trust names, in singular, and how they are shortened.
 BUSINESS = {
     "ASSOCIATE": ("ASSOC", "ASSOCS", "ASSN"), "APARTMENT": ("APT", "APTS"), "DEVELOPMENT": ("DEV", "DEVEL", "DEVT"), "ENTERPRISE": ("ENT", "ENTS", "ENTPR"), "EQUITY": ("EQ", "EQUIT"), "HOLDING": ("HLDG", "HLDGS", "HOLD"), "HOUSING": ("HSG", "HOUS"),
@@ -42,12 +44,23 @@ TRUSTEE = {"TRUSTEE", "TRUSTEES", "TTEE"}
 NUMERALS = {"II", "III", "IV", "VI", "VII", "VIII", "IX"}
 GENERATIONS = {"JR", "SR"}
 FILLERS = {"THE", "OF"}
+# short forms of business words that are also titles or parts of people's names
+TITLES = {"DR", "ST", "CT", "PL", "AV", "CAP"}
 # end of fixed values
 
 _SHORT = {short: word for word, shorts in BUSINESS.items() for short in shorts}
-_GIVEN = set(NICKNAMES.values()) | set(ALIKE)
+_GIVEN = sorted(set(NICKNAMES.values()))
 _WRITTEN = {form: word for word in BUSINESS if len(word) > 5 for form in (word, word[:-1] + "IES" if word.endswith("Y") else word + "S")}
+
+
+def _less_one(word: str) -> list[str]:
+    """The word without any one letter."""
+    return [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
+_NEAR = {rest: word for form, word in _WRITTEN.items() for rest in (*_less_one(form), form)}
 _SEPARATOR, _GLUED = re.compile(r"[/.,-]"), re.compile(r"\b(\d+)(?=[A-Z]{3,})")
+_LONGEST = max(map(len, _WRITTEN)) + 1
 PARSED = "cls string, fixed string, legal string, words array<string>, initials array<string>"
 
 
@@ -59,8 +72,8 @@ def _singular(word: str) -> str:
     if word[:-1] in BUSINESS and word.endswith("S"):
         return word[:-1]
     # a business word mistyped in one place
-    if len(word) > 5 and word not in BUSINESS:
-        return next((w for form, w in _WRITTEN.items() if abs(len(form) - len(word)) <= 1 and common_length(form, word) >= max(len(form), len(word)) - 1), word)
+    if 5 < len(word) <= _LONGEST and word not in BUSINESS:
+        return next((_NEAR[rest] for rest in (word, *_less_one(word)) if rest in _NEAR), word)
     return word
 
 
@@ -77,7 +90,7 @@ def parse(name: str) -> tuple[str, str, str, list[str], list[str]]:
     singular = [_singular(t) for t in tokens]
     if held & TRUST:
         cls = "trust"
-    elif held & LEGAL.keys() or any(t.isdigit() for t in tokens) or any(s in BUSINESS and t not in ("DR", "ST", "CT", "PL", "AV", "CAP", "WILL") for t, s in zip(tokens, singular)):
+    elif held & LEGAL.keys() or any(t.isdigit() for t in tokens) or any(s in BUSINESS and t not in TITLES for t, s in zip(tokens, singular)):
         cls = "company"
     elif "&" in held or "AND" in held:
         cls = "couple"
@@ -100,78 +113,6 @@ def parse(name: str) -> tuple[str, str, str, list[str], list[str]]:
     return cls, " ".join(sorted(fixed)), legal, words, sorted(initials)
 
 
-_PRIME, _BASE = (1 << 61) - 1, 1_000_003
-
-
-def _hashes(word: str) -> set[int]:
-    """Hashes of a word and of all that is left of it without one letter; short words have only their own.
-
-    Two words are equal but for one letter added, lost, changed or moved if and only if they share such a rest.
-    """
-    tails = [(0, 1)]
-    for ch in reversed(word):
-        value, power = tails[-1]
-        tails.append(((ord(ch) * power + value) % _PRIME, power * _BASE % _PRIME))
-    found, before = {tails[-1][0]}, 0
-    if len(word) >= 4:
-        for i, ch in enumerate(word):
-            value, power = tails[len(word) - 1 - i]
-            found.add((before * power + value) % _PRIME)
-            before = (before * _BASE + ord(ch)) % _PRIME
-    return found
-
-
-def _hash(text: str) -> int:
-    value = 0
-    for ch in text:
-        value = (value * _BASE + ord(ch)) % _PRIME
-    return value
-
-
-def word_keys(cls: str, fixed: str, words: list[str]) -> tuple[list[int], list[list[int]]]:
-    """A key per word beside the number of words, and per word the hashes by which a mistyped one is found.
-
-    Of names that link with as many words, one word is equal and every other has one like it: a common key
-    may be refined by the hashes of any other word, and again by the next, and no pair is parted. A single
-    word may itself be mistyped: its keys are its hashes.
-    """
-    base = _hash(f"{cls}|{fixed}|{len(words)}|")
-    near = [sorted(_hashes(w)) for w in words]
-    if len(words) == 1:
-        return [(base * 31 + h) % _PRIME for h in near[0]], near
-    return [(base * 31 + _hash(w)) % _PRIME for w in words], near
-
-
-def side_keys(cls: str, fixed: str, words: list[str], initials: list[str]) -> tuple[list[int], list[int]]:
-    """Keys of a name as the one with a word less, and as the one with a word more: pairs meet across the two.
-
-    All other words are equal. One name has the initial of the other's word, or two words run together.
-    """
-    less, more = set(), set()
-
-    def base(kind: str, left_out: tuple[int, ...]) -> int:
-        return _hash("|".join([kind, cls, fixed, *sorted(w for j, w in enumerate(words) if j not in left_out)]))
-
-    if cls in ("person", "couple") and words:
-        less |= {(base("I", ()) * 31 + ord(i)) % _PRIME for i in initials}
-        more |= {(base("I", (j,)) * 31 + ord(w[0])) % _PRIME for j, w in enumerate(words)} if len(words) > 1 else set()
-    for j, w in enumerate(words):
-        if len(w) >= 6:
-            start = base("J", (j,)) * 31
-            less |= {(start + h) % _PRIME for h in _hashes(w)}
-        for i in range(j):
-            if len(words[i]) + len(w) >= 6:
-                start = base("J", (i, j)) * 31
-                more |= {(start + h) % _PRIME for h in _hashes(words[i] + w)}
-    return sorted(less), sorted(more)
-
-
-def block_keys(cls: str, fixed: str, words: list[str], initials: list[str]) -> list[tuple[int, str]]:
-    """All keys of a name, each with its role: word, less or more."""
-    less, more = side_keys(cls, fixed, words, initials)
-    return [(k, role) for role, ks in (("word", word_keys(cls, fixed, words)[0]), ("less", less), ("more", more)) for k in ks]
-
-
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence."""
     if a == b:
@@ -193,84 +134,82 @@ def common_length(a: str, b: str) -> int:
     return start + end + row[-1]
 
 
-def is_typo(a: str, b: str, df_a: int, df_b: int) -> bool:
-    """Whether two words are one mistyped: all letters but one in common, and not both in use as words.
+def suffixes(word: Column, least: Column, most: Column) -> Column:
+    """Array of (side, suffix, rest): the ends of a word of these lengths, and as side 1 its beginnings, which are the ends of its mirror image."""
+    lengths = F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
+    n = F.length(word)
+    ends = F.transform(lengths, lambda k: F.struct(F.lit(0).alias("side"), F.right(word, k).alias("s"), F.left(word, n - k).alias("rest")))
+    return F.concat(ends, F.transform(lengths, lambda k: F.struct(F.lit(1).alias("side"), F.left(word, k).alias("s"), F.right(word, n - k).alias("rest"))))
 
-    One of them must be rare, alone or against the other; two known given names are always two words.
-    """
-    low, high = min(df_a, df_b), max(df_a, df_b)
-    if (a in _GIVEN and b in _GIVEN) or (a in BUSINESS and b in BUSINESS) or (low > 2 and low > 0.1 * high):
-        return False
-    longest = max(len(a), len(b))
-    return longest >= 4 and abs(len(a) - len(b)) <= 1 and (common := common_length(a, b)) >= longest - 1 and 2 * common / (len(a) + len(b)) >= 0.75
 
+def without_one(text: Column) -> Column:
+    """Array of the text and of all that is left of it without one letter."""
+    shorter = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.left(text, i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.array_distinct(F.concat(F.array(text), F.when(F.length(text) > 0, shorter).otherwise(F.array().cast("array<string>"))))
 
-def compare(a: dict, b: dict) -> tuple[int, str]:
-    """(strength, which is less specific) of two parsed names of equal class and fixed parts.
 
-    1: the same but for typos and spacing; 2: one lacks a middle initial or the legal form of the other;
-    3: one has only the initial of a given name; 0: different owners.
+def similar_words(words: DataFrame) -> DataFrame:
+    """(a, b, ratio) for words that differ by one slip, in both orders. words: (w, real), w distinct; words that are not real are no a.
+
+    The index holds every suffix of a word and of its mirror image from ``LEAST_SUFFIX`` letters on, or a little
+    under half of the word if that is more. One letter added, lost, changed or two neighbors swapped leave half of
+    a word's other letters on one of its sides: so each word looks up its two halves. A common suffix is
+    refined by what is left of the rest of the word without any one letter, which parts no such pair. Words that
+    are too short for a half of the least length meet by what is left of the whole word without any one letter.
+    Pairs are compared by the longest common subsequence: all letters but one of the longer word.
     """
-    if (a["legal"] and b["legal"] and a["legal"] != b["legal"]) or not len(a["words"]) or not len(b["words"]):
-        return 0, ""
-    lacks = {"a": 0, "b": 0}
-    if a["legal"] != b["legal"]:
-        lacks["a" if not a["legal"] else "b"] = 2
-    rest_b = list(zip(b["words"], b["dfs"]))
-    rest_a = []
-    for word in zip(a["words"], a["dfs"]):
-        match = next((w for w in rest_b if w[0] == word[0]), None)
-        if match:
-            rest_b.remove(match)
-        else:
-            rest_a.append(word)
-    typos = 0
-    for word in list(rest_a):
-        match = next((w for w in rest_b if is_typo(word[0], w[0], word[1], w[1])), None)
-        if match:
-            rest_a.remove(word)
-            rest_b.remove(match)
-            typos += 1
-    if typos > max(1, min(len(a["words"]), len(b["words"])) - 1):
-        return 0, ""
-    initials_a, initials_b = list(a["initials"]), list(b["initials"])
-    if rest_a or rest_b:
-        if a["cls"] in ("person", "couple") and len(rest_a) + len(rest_b) == 1 and len(a["words"]) != len(b["words"]):
-            long, short, side = (rest_a[0][0], initials_b, "b") if rest_a else (rest_b[0][0], initials_a, "a")
-            if long[0] in short and typos == 0:
-                short.remove(long[0])
-                lacks[side] = 3
-                rest_a, rest_b = [], []
-        if (rest_a or rest_b) and typos == 0 and abs(len(a["words"]) - len(b["words"])) == 1 and (rest_a and rest_b):
-            # two words run together
-            joined_a, joined_b = "".join(w for w, _ in rest_a), "".join(w for w, _ in rest_b)
-            longest = max(len(joined_a), len(joined_b))
-            if min(len(rest_a), len(rest_b)) == 1 and longest >= 7 and common_length(joined_a, joined_b) >= longest - 1:
-                rest_a, rest_b = [], []
-        if rest_a or rest_b:
-            return 0, ""
-    if initials_a != initials_b:
-        if initials_a and initials_b:
-            return 0, ""
-        side = "a" if not initials_a else "b"
-        lacks[side] = max(lacks[side], 2)
-    if lacks["a"] and lacks["b"]:
-        return 0, ""
-    strength = max(lacks.values()) or 1
-    return strength, "" if strength == 1 else "a" if lacks["a"] else "b"
+    n = F.length("w")
+    known = words.where(n >= LEAST_WORD - 1)
+    half = F.floor((n - 2) / 2).cast("int")
+    least = F.greatest(F.lit(LEAST_SUFFIX), F.floor((n - 3) / 2).cast("int"))
+    # of a very long word only those suffixes that a word of about its length looks up
+    index = known.select("w", "real", F.explode(suffixes(F.col("w"), least, F.when(n <= ALL_SUFFIXES, n).otherwise(least + 2))).alias("x")).select("w", "real", "x.*")
+    index = checkpoint(index.select("w", "real", F.xxhash64("side", "s").alias("k"), "rest"))
+    common = index.groupBy("k").agg(F.count(F.lit(1)).alias("n_words")).where(F.col("n_words") > BLOCK).select("k")
+    probes = known.where((half >= LEAST_SUFFIX) & F.col("real")).select("w", F.explode(suffixes(F.col("w"), half, half)).alias("x")).select("w", F.xxhash64("x.side", "x.s").alias("k"), "x.rest")
+
+    def refined(rows: DataFrame) -> DataFrame:
+        return rows.join(common, "k", "left_semi").select("w", F.explode(without_one(F.col("rest"))).alias("r"), "k").select("w", F.xxhash64("k", "r").alias("k"))
+
+    short = known.where(half <= LEAST_SUFFIX).select("w", "real", F.explode(without_one(F.col("w"))).alias("r")).select("w", "real", F.xxhash64(F.lit("whole"), "r").alias("k"))
+    asking = probes.join(common, "k", "left_anti").select("w", "k").unionByName(refined(probes)).unionByName(short.where("real").select("w", "k"))
+    asked = index.join(common, "k", "left_anti").select("w", "k").unionByName(refined(index)).unionByName(short.select("w", "k"))
+    met = asking.withColumnRenamed("w", "a").join(asked.withColumnRenamed("w", "b"), "k").where("a <> b")
+    # a swap counts two here: nothing that one slip makes is lost
+    met = met.where((F.greatest(F.length("a"), F.length("b")) >= LEAST_WORD) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 2) >= 0)).select("a", "b").distinct()
+
+    @F.pandas_udf("double")
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in batches:
+            yield pd.Series([slip_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    found = met.select("a", "b", ratio("a", "b").alias("ratio")).where("ratio > 0")
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
+    return both.groupBy("a", "b").agg(F.max("ratio").alias("ratio")).join(words.where("real").select(F.col("w").alias("a")), "a", "left_semi")
+
+
+def slip_ratio(a: str, b: str) -> float:
+    """Twice the longest common subsequence over both lengths, 0 if more than one letter of the longer word is not in it."""
+    longest = max(len(a), len(b))
+    common = common_length(a, b) if longest >= LEAST_WORD and abs(len(a) - len(b)) <= 1 else 0
+    share = 2 * common / (len(a) + len(b)) if common >= longest - 1 else 0.0
+    return share if share >= 0.75 else 0.0
 
 
 def variant_groups(names: DataFrame, key: str, name: str) -> DataFrame:
     """(key, group_id) for every row with a key and a name that is not blank; equal keys must not repeat.
 
-    Names of one canonical form (order, short forms, nicknames, fillers) collapse first. Names meet by a word
-    they share and all parts that must be equal; a common block is refined by what is left of another word
-    without any one letter, word after word, which parts no pair that can link. Names with a word less meet
-    those with a word more by all their other words and the initial, or the two words run together.
-    Pairs are compared word by word by the longest common subsequence, with the corpus' word frequencies
-    telling a typo from another word. Names that differ by typos alone link transitively. A name that lacks a
-    part (middle initial, legal form, given name but for its initial) joins the one group that has it, or none
-    if several do. Null and blank names are in no group; a name of punctuation only groups by itself.
+    Names of one canonical form (order, short forms, nicknames, fillers) collapse first. Their distinct words
+    are linked by suffix blocking and the longest common subsequence (``similar_words``). A word is taken for a
+    slip of a more frequent one if most names with it also occur with the other: a share, so it holds at
+    any size. A name then stands under its own words, under its words with one or two slips put right (one at
+    least stays as typed, unless it is the only one), and with two words run together where such a word
+    exists; names that stand under the same words, legal form and initials are one. All this is equality of
+    keys: no pairs within a block are made, and no block is dropped.
+
+    A name that lacks a part (middle initial, legal form, given name but for its initial) joins the one group
+    that has it, or none if several do; repeated until nothing moves. Null and blank names are in no group; a
+    name of punctuation only, or without words, groups with the same form only.
     """
 
     @F.pandas_udf(PARSED)
@@ -280,83 +219,120 @@ def variant_groups(names: DataFrame, key: str, name: str) -> DataFrame:
 
     rows = names.where(F.col(key).isNotNull() & ~is_blank(F.col(name))).select(F.col(key).alias("key"), F.col(name).alias("name"))
     forms = rows.select("key", "name", parsed("name").alias("p"))
-    # words in order, as two names of one bag of words may run them together differently; sorted for the form
     shape = F.concat_ws("|", "p.cls", "p.fixed", "p.legal", F.array_join(F.array_sort("p.words"), " "), F.array_join("p.initials", " "))
     empty = (F.size("p.words") == 0) & (F.size("p.initials") == 0) & (F.col("p.fixed") == "")
     forms = checkpoint(forms.select("key", F.sha2(F.when(empty, F.col("name")).otherwise(shape), 256).alias("form"), "p"))
     # short numbers for the forms: fixed once checkpointed, and all that the joins below move
     reps = checkpoint(forms.groupBy("form").agg(F.min("p").alias("p")).withColumn("id", F.monotonically_increasing_id()))
-
-    words = reps.select("id", F.posexplode("p.words").alias("at", "word"))
-    counts = words.select("id", "word").distinct().groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("df"))
-    weighed = hot_key_lookup(words, "word", counts, "w", ["df"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "df"))).alias("ws"))
-    weighed = checkpoint(reps.join(weighed, "id").select("id", F.struct("p.cls", "p.fixed", "p.legal", "p.initials", F.col("ws.word").alias("words"), F.col("ws.df").alias("dfs")).alias("n")))
-
-    @F.pandas_udf("n int, ks array<bigint>, at array<int>, near array<bigint>, less array<bigint>, more array<bigint>")
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(c, f, list(w), list(i)) for c, f, w, i in zip(batch["cls"], batch["fixed"], batch["words"], batch["initials"])]
-            out = []
-            for c, f, w, i in rows:
-                ks, near = word_keys(c, f, w)
-                out.append((len(w), ks, [at for at, hs in enumerate(near) for _ in hs], [h for hs in near for h in hs], *side_keys(c, f, w, i)))
-            yield pd.DataFrame(out, columns=["n", "ks", "at", "near", "less", "more"])
-
-    # a hash shared by chance only adds a pair to compare
-    keyed = checkpoint(weighed.select("id", keys(F.struct("n.cls", "n.fixed", "n.words", "n.initials")).alias("k")).select("id", "k.*"))
-    less, more = keyed.select("id", F.explode("less").alias("k")), keyed.select(F.col("id").alias("id_b"), F.explode("more").alias("k"))
-    across = less.join(more, "k").select(F.least("id", "id_b").alias("id"), F.greatest("id", "id_b").alias("id_b"))
-    blocks = _refined(keyed)
-    pairs = blocks.join(blocks.withColumnRenamed("id", "id_b"), "k").where("id < id_b").select("id", "id_b").unionByName(across).where("id < id_b").distinct()
-
-    @F.pandas_udf("strength int, less string")
-    def compared(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        for left, right in batches:
-            both = zip(left.to_dict("records"), right.to_dict("records"))
-            yield pd.DataFrame([compare(a, b) for a, b in both], columns=["strength", "less"])
-
-    wide = pairs.join(weighed, "id").join(weighed.select(F.col("id").alias("id_b"), F.col("n").alias("n_b")), "id_b")
-    conflict = (F.col("n.legal") != "") & (F.col("n_b.legal") != "") & (F.col("n.legal") != F.col("n_b.legal"))
-    alike = wide.where(~conflict & (F.col("n.cls") == F.col("n_b.cls")) & (F.col("n.fixed") == F.col("n_b.fixed")) & (F.abs(F.size("n.words") - F.size("n_b.words")) <= 1))
-    # of as many words where each has one of its own, it must be close: most pairs end here, without Python
-    own_a, own_b = F.array_except("n.words", "n_b.words"), F.array_except("n_b.words", "n.words")
-    alike = alike.withColumns({"own_a": own_a, "own_b": own_b}).where((F.size("n.words") != F.size("n_b.words")) | (F.size("own_a") != 1) | (F.size("own_b") != 1) | (F.levenshtein(F.try_element_at("own_a", F.lit(1)), F.try_element_at("own_b", F.lit(1)), 2) >= 0))
-    links = checkpoint(alike.select("id", "id_b", compared("n", "n_b").alias("c")).where("c.strength > 0").select("id", "id_b", "c.*"))
-
-    roots = components(links.where("strength = 1"), "id", "id_b")
-    groups = reps.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("group"))
-    for strength in (2, 3):
-        groups = _attach(checkpoint(groups), links.where(F.col("strength") == strength))
-    return forms.select("key", "form").join(reps.select("form", "id"), "form").join(groups, "id").select(F.col("key").alias(key), F.col("group").alias("group_id"))
-
-
-def _refined(keyed: DataFrame) -> DataFrame:
-    """(k, id): the keys of names; those that are common are refined by one more word until no word is left."""
-    path = F.transform("ks", lambda k, i: F.struct(k.alias("k"), F.array(F.when(F.col("n") == 1, 0).otherwise(i)).alias("path")))
-    near = keyed.select("id", F.explode(F.arrays_zip("at", "near")).alias("o")).select("id", "o.at", F.col("o.near").alias("h"))
-    open_ = checkpoint(keyed.select("id", "n", F.explode(path).alias("p")).select("id", "n", "p.k", "p.path"))
-    done = None
+    named = reps.where(F.size("p.words") > 0).select("id", "p.*")
+
+    placed = checkpoint(_places(named))
+    lead = placed.groupBy("node").agg(F.min("id").alias("lead"))
+    roots = components(placed.join(lead, "node").select("id", "lead"), "id", "lead")
+    groups = checkpoint(reps.select("id", "form").join(roots.withColumnRenamed("node", "id"), "id", "left").select("form", "id", F.coalesce("root", "id").alias("group")))
+    at = lead.join(groups.select(F.col("id").alias("lead"), "group"), "lead").select("node", "group")
+    nodes = placed.groupBy("node").agg(F.first(F.struct("cls", "fixed", "words", "legal", "initials")).alias("n")).select("node", "n.*").join(at, "node")
+    lacking = _lacking(nodes)
+    asked = at.select("node", F.col("group").alias("x"))
+    links = checkpoint(lacking.join(asked, "node").where("x <> y").select("x", "y", "strength").distinct())
+    for moves in _attached(links):
+        groups = groups.join(moves.withColumnRenamed("node", "group"), "group", "left").select("form", "id", F.coalesce("root", "group").alias("group"))
+    return forms.select("key", "form").join(groups.select("form", "group"), "form").select(F.col("key").alias(key), F.col("group").alias("group_id"))
+
+
+def _bag(words: Column) -> Column:
+    return F.xxhash64("cls", "fixed", F.array_sort(words))
+
+
+def _node(bag: Column, legal: Column, initials: Column) -> Column:
+    """The key of a place: names meet where class, fixed parts, words, legal form and initials are equal."""
+    return F.xxhash64(bag, legal, F.array_join(initials, " "))
+
+
+def _places(named: DataFrame) -> DataFrame:
+    """(id, node, cls, fixed, words, legal, initials): where each form stands: as typed, with slips put right, with words run together."""
+    words = named.select("id", F.posexplode("words").alias("at", "word"))
+    counts = checkpoint(words.select("id", "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    pair = F.flatten(F.transform("words", lambda a, i: F.transform(F.filter(F.transform("words", lambda b, j: F.struct(b.alias("b"), j.alias("j"))), lambda y: (y.j > i) & (F.length(a) + F.length(y.b) >= 6)), lambda y: F.struct(i.alias("i"), y.j.alias("j"), F.concat(a, y.b).alias("w")))))
+    joined = named.select("id", F.explode(pair).alias("o")).select("id", "o.*")
+    glued = joined.select("w").distinct().join(counts.select(F.col("word").alias("w")), "w", "left_anti")
+    vocabulary = counts.select(F.col("word").alias("w"), F.lit(True).alias("real")).unionByName(glued.select("w", F.lit(False).alias("real")))
+    similar = checkpoint(similar_words(vocabulary))
+
+    # what a rarer word may stand for
+    a, b = counts.select(F.col("word").alias("a"), F.col("df").alias("df_a")), counts.select(F.col("word").alias("b"), F.col("df").alias("df_b"))
+    known = lambda words_: F.col("a").isin(words_) & F.col("b").isin(words_)
+    fixes = similar.join(a, "a").join(b, "b", "left").where((F.col("df_b").isNull() | (F.col("df_a") <= F.col("df_b"))) & ~known(_GIVEN) & ~known(sorted(BUSINESS)))
+    fixes = checkpoint(fixes.select("a", "b", "ratio", "df_a", "df_b"))
+    options = fixes.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "ratio"))).alias("options"))
+    found = hot_key_lookup(words, "word", options, "a", ["options"]).where("options is not null").select("id", "at", "word", F.explode("options").alias("o")).select("id", F.struct("at", "word", "o").alias("f"))
+    per_name = named.join(found.groupBy("id").agg(F.collect_list("f").alias("fs")), "id")
+
+    def put_right(*chosen: Column) -> Column:
+        def word(x: Column, i: Column) -> Column:
+            for f in chosen:
+                x = F.when(f["at"] == i, f["o"]["b"]).otherwise(x)
+            return x
+
+        ratio = sum((f["o"]["ratio"] for f in chosen[1:]), chosen[0]["o"]["ratio"])
+        return F.struct(F.transform("words", word).alias("words"), F.array(*[F.struct(f["word"].alias("a"), f["o"]["b"].alias("b")) for f in chosen]).alias("fixes"), F.array(*[f["at"] for f in chosen]).alias("ats"), ratio.alias("ratio"))
+
+    singles = F.transform("fs", lambda f: put_right(f))
+    doubles = F.when(F.size("words") >= 3, F.flatten(F.transform("fs", lambda f: F.transform(F.filter("fs", lambda g: g["at"] > f["at"]), lambda g: put_right(f, g))))).otherwise(F.slice(singles, 1, 0))
+    base = ["id", "cls", "fixed", "legal", "initials"]
+    right = per_name.select(*base, F.explode(F.concat(singles, doubles)).alias("c")).select(*base, "c.*")
+    # run together: only where such a word was typed, or is what one may stand for
+    of_use = counts.select(F.col("word").alias("w")).unionByName(fixes.where("a is not null").select(F.col("b").alias("w"))).distinct()
+    together = joined.join(of_use, "w").join(named, "id")
+    rest = F.filter("words", lambda x, k: (k != F.col("i")) & (k != F.col("j")))
+    together = together.select(*base, F.concat(F.array("w"), rest).alias("words"))
+    none = [F.lit(None).cast("array<struct<a:string,b:string>>").alias("fixes"), F.lit(None).cast("array<int>").alias("ats"), F.lit(0.0).alias("ratio")]
+    places = named.select(*base, "words", *none).unionByName(together.select(*base, "words", *none)).unionByName(right)
+    places = checkpoint(places.withColumn("words", F.array_sort("words")).withColumn("bag", _bag(F.col("words"))))
+
+    # a slip put right counts if another name stands there, and if that holds for most names with the word
+    met = places.groupBy("bag").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bag")
+    slips = checkpoint(places.where("fixes is not null").join(met, "bag", "left_semi"))
+    sure = slips.select("id", F.explode("fixes").alias("f")).groupBy("f.a", "f.b").agg(F.count_distinct("id").alias("n")).join(fixes, ["a", "b"]).where(F.col("n") >= SLIP_SHARE * F.col("df_a"))
+    sure = checkpoint(sure.select("a", "b", "df_a", "df_b"))
+    # a word that is a slip itself is a worse reading than one that is none
+    slipped = sure.where("df_a < df_b").select(F.col("a").alias("b")).distinct().withColumn("slip", F.lit(True))
+    judged = slips.select("id", "bag", "ats", F.explode("fixes").alias("f")).select("id", "bag", "ats", "f.*").join(sure, ["a", "b"], "left").join(slipped, "b", "left")
+    judged = judged.groupBy("id", "bag", "ats").agg(F.bool_and(F.col("df_a").isNotNull()).alias("sure"), F.count_if("slip").alias("n_slips"), F.min(F.coalesce("df_b", F.lit(0))).alias("df"))
+    # of several words that a slip may stand for: one that is no slip, the closest, the most frequent
+    rank = F.struct(-F.col("n_slips"), "ratio", "df", "bag")
+    best = slips.join(judged.where("sure"), ["id", "bag", "ats"]).groupBy("id", "ats").agg(F.max_by(F.struct(*base[1:], "words", "bag"), rank).alias("b")).select("id", "b.*")
+    kept = places.where("fixes is null").select(*base, "words", "bag").unionByName(best.select(*base, "words", "bag"))
+    return kept.select("id", _node(F.col("bag"), F.col("legal"), F.col("initials")).alias("node"), "cls", "fixed", "words", "legal", "initials")
+
+
+def _lacking(nodes: DataFrame) -> DataFrame:
+    """(node, y, strength): the places that lack a part of group y's: legal form or initials (2), a given name but for its initial (3)."""
+    option = lambda legal, initials: F.struct(legal.alias("legal"), initials.alias("initials"))
+    blank, nothing = F.lit(""), F.array().cast("array<string>")
+    legal, initials = F.col("legal"), F.col("initials")
+    less = F.array_except(F.array(option(legal, nothing), option(blank, initials), option(blank, nothing)), F.array(option(legal, initials)))
+    parts = nodes.select(F.col("group").alias("y"), "cls", "fixed", "words", F.explode(less).alias("o")).select(_node(_bag(F.col("words")), F.col("o.legal"), F.col("o.initials")).alias("node"), "y", F.lit(2).alias("strength"))
+    people = nodes.where(F.col("cls").isin("person", "couple") & (F.size("words") >= 2)).select(F.col("group").alias("y"), "cls", "fixed", "legal", "initials", F.posexplode("words").alias("at", "word"), "words")
+    letter = F.array(F.left("word", F.lit(1)))
+    people = people.withColumns({"words": F.filter("words", lambda x, k: k != F.col("at")), "initials": F.explode(F.array_distinct(F.array(F.array_sort(F.concat("initials", letter)), letter)))})
+    return parts.unionByName(people.select(_node(_bag(F.col("words")), F.col("legal"), F.col("initials")).alias("node"), "y", F.lit(3).alias("strength")))
+
+
+def _attached(links: DataFrame) -> Iterator[DataFrame]:
+    """(node, root) per pass: each group that lacks a part joins the only group that has it, until none does; first by legal form and initials."""
     while True:
-        common = open_.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > BLOCK).select("k", F.lit(True).alias("common"))
-        marked = checkpoint(open_.join(common, "k", "left").withColumn("common", F.col("common").isNotNull() & (F.size("path") < F.col("n"))))
-        rest = marked.where("not common").select("k", "id").distinct()
-        done = rest if done is None else done.unionByName(rest)
-        hot = marked.where("common")
-        if hot.isEmpty():
-            return done
-        finer = hot.join(near, "id").where(~F.array_contains("path", F.col("at")))
-        open_ = checkpoint(finer.select("id", "n", F.xxhash64("k", "h").alias("k"), F.array_append("path", F.col("at")).alias("path")))
-
-
-def _attach(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Join each group that lacks a part to the only group that has it; a group with several stays apart."""
-    less, more = F.when(F.col("less") == "a", F.col("id")).otherwise(F.col("id_b")), F.when(F.col("less") == "a", F.col("id_b")).otherwise(F.col("id"))
-    ends = links.select(less.alias("x"), more.alias("y"))
-    ends = ends.join(groups.select(F.col("id").alias("x"), F.col("group").alias("gx")), "x").join(groups.select(F.col("id").alias("y"), F.col("group").alias("gy")), "y").where("gx <> gy")
-    only = checkpoint(ends.groupBy("gx").agg(F.min("gy").alias("to"), F.max("gy").alias("last")).where("to = last").select("gx", "to"))
-    # a target that is itself attached takes its own along
-    chain = only.join(only.select(F.col("gx").alias("to"), F.col("to").alias("beyond")), "to", "left").select("gx", F.when(F.col("beyond") == F.col("gx"), F.least("gx", "to")).otherwise(F.coalesce("beyond", "to")).alias("to"))
-    return groups.join(chain, F.col("group") == F.col("gx"), "left").select("id", F.coalesce("to", "group").alias("group"))
+        for strength in (2, 3):
+            some = links.where(F.col("strength") == strength).groupBy("x").agg(F.min("y").alias("y"), F.max("y").alias("last")).where("y = last").select("x", "y")
+            moves = components(some, "x", "y")
+            if not moves.isEmpty():
+                break
+        else:
+            return
+        yield moves
+        at_x = links.join(moves.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").select(F.coalesce("rx", "x").alias("x"), "y", "strength")
+        at_y = at_x.join(moves.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left").select("x", F.coalesce("ry", "y").alias("y"), "strength")
+        links = checkpoint(at_y.where("x <> y").distinct())
 
 
 def pairs_of_groups(groups: DataFrame, key: str, group: str) -> DataFrame:
