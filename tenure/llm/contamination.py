@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 #: A leak is a run of this many words of an item.
 LEAST_WORDS = 12
-#: Words of corpus text in one suffix array, and characters of items that meet the corpus at once.
+#: Words of corpus text in one suffix array, and characters of items that meet the corpus at once (the bound of what is broadcast).
 SHARD_WORDS = 2_000_000
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
+#: Test suffixes searched, matches expanded and words compared in one step: bounds of a task's memory.
+CHUNK, STEP = 200_000, 16
 
 _WORD = re.compile(r"[^\W_]+")
 _BREAK_TAG = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr)\b[^<>]*>", re.I)
@@ -69,64 +71,76 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Items:
-    """The suffixes of a block of test items, ready to be searched in any number of shards."""
+    """The suffixes of a block of test items, ready to be searched in any number of shards.
+
+    All words stand in one array, each item between separators; a suffix is a place in it.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], least: int) -> None:
         self.least = least
         texts = [(i, words(t)) for i, t in items]
         self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for _, ws in texts for w in ws))}
-        self.depth = max([least, *(len(ws) for _, ws in texts)])
-        owner, start = [], []
-        rows = []
-        for i, ws in texts:
-            line = np.array([self.vocabulary[w] for w in ws], np.int64)
-            for s in range(len(ws) - least + 1):
-                row = np.full(self.depth, -2, np.int64)
-                row[: len(line) - s] = line[s:]
-                rows.append(row)
-                owner.append(i)
-                start.append(s)
-        self.suffixes = np.array(rows, np.int64).reshape(-1, self.depth)
-        self.owner = np.array(owner, dtype=object)
-        self.start = np.array(start, np.int64)
-
-    def search(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every verbatim match of at least ``least`` words: number of the test suffix, position, length."""
-        none = np.empty(0, np.int64)
-        if len(tokens) < self.least or not len(self.suffixes):
-            return none, none, none
-        order = suffix_array(tokens, self.depth)
-        padded = np.concatenate([tokens, np.full(self.depth, -1, np.int64)])
-
-        def bound(right: bool) -> np.ndarray:
-            """Binary search of every test suffix by its first ``least`` words."""
-            low, high = np.zeros(len(self.suffixes), np.int64), np.full(len(self.suffixes), len(order), np.int64)
-            wanted = self.suffixes[:, : self.least]
-            span = np.arange(self.least)
-            while (open_ := low < high).any():
-                middle = (low + high) // 2
-                seen = padded[order[np.minimum(middle, len(order) - 1)][:, None] + span]
-                differs = seen != wanted
-                first = differs.argmax(1)
-                at = np.arange(len(wanted))
-                less = np.where(differs.any(1), seen[at, first] < wanted[at, first], right)
-                low = np.where(open_ & less, middle + 1, low)
-                high = np.where(open_ & ~less, middle, high)
-            return low
-
-        left, right = bound(False), bound(True)
-        count = right - left
-        which = np.repeat(np.arange(len(count)), count)
-        if not len(which):
-            return none, none, none
-        offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        position = order[left[which] + offset]
-        length = np.empty(len(which), np.int64)
-        for s in range(0, len(which), 100_000):
-            part = slice(s, s + 100_000)
-            differs = padded[position[part][:, None] + np.arange(self.depth)] != self.suffixes[which[part]]
-            length[part] = np.where(differs.any(1), differs.argmax(1), self.depth)
-        return which, position, length
+        separator = np.array([-2], np.int32)
+        parts, at, owner, start, length = [separator], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1
+        self.ids = np.empty(len(texts), dtype=object)
+        for n, (i, ws) in enumerate(texts):
+            self.ids[n] = i
+            starts = np.arange(max(0, len(ws) - least + 1))
+            at.append(starts + length)
+            start.append(starts)
+            owner.append(np.full(len(starts), n))
+            parts += [np.array([self.vocabulary[w] for w in ws], np.int32), separator]
+            length += len(ws) + 1
+        self.flat = np.concatenate([*parts, np.full(least + STEP, -2, np.int32)])
+        self.at, self.owner, self.start = np.concatenate(at), np.concatenate(owner), np.concatenate(start)
+
+    def search(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Verbatim matches of at least ``least`` words that cannot begin a word earlier: (number of the test suffix, position, length), in chunks."""
+        if len(tokens) < self.least or not len(self.at):
+            return
+        order = suffix_array(tokens, self.least)
+        padded = np.concatenate([tokens, np.full(self.least + STEP, -1, tokens.dtype)])
+        before = np.concatenate([np.array([-1], tokens.dtype), tokens])
+        for low in range(0, len(self.at), CHUNK):
+            at = self.at[low : low + CHUNK]
+            left, right = self._bound(padded, order, at, False), self._bound(padded, order, at, True)
+            found = np.flatnonzero(right > left)
+            ends = np.cumsum(right[found] - left[found])
+            for first in range(0, int(ends[-1]) if len(ends) else 0, CHUNK):
+                n = np.arange(first, min(first + CHUNK, int(ends[-1])))
+                which = np.searchsorted(ends, n, side="right")
+                suffix = found[which]
+                position = order[left[suffix] + n - (ends[which] - (right[suffix] - left[suffix]))]
+                whole = before[position] != self.flat[at[suffix] - 1]
+                suffix, position = suffix[whole], position[whole]
+                yield low + suffix, position, self._lengths(padded, position, at[suffix])
+
+    def _bound(self, padded: np.ndarray, order: np.ndarray, at: np.ndarray, right: bool) -> np.ndarray:
+        """Binary search of test suffixes by their first ``least`` words."""
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+        span = np.arange(self.least)
+        wanted = self.flat[at[:, None] + span]
+        rows = np.arange(len(at))
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            seen = padded[order[np.minimum(middle, len(order) - 1)][:, None] + span]
+            differs = seen != wanted
+            first = differs.argmax(1)
+            less = np.where(differs.any(1), seen[rows, first] < wanted[rows, first], right)
+            low = np.where(open_ & less, middle + 1, low)
+            high = np.where(open_ & ~less, middle, high)
+        return low
+
+    def _lengths(self, padded: np.ndarray, position: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How far the words agree from there on; both arrays end on separators that never agree."""
+        length = np.full(len(at), self.least, np.int64)
+        active, span = np.arange(len(at)), np.arange(STEP)
+        while len(active):
+            differs = padded[(position[active] + length[active])[:, None] + span] != self.flat[(at[active] + length[active])[:, None] + span]
+            stops = differs.any(1)
+            length[active] += np.where(stops, differs.argmax(1), STEP)
+            active = active[~stops]
+        return length
 
 
 def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -136,9 +150,10 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     and in the item. Null and empty texts match nothing; repeated rows with one id give one row; items with
     fewer than ``least_words`` words cannot leak. Columns of the tables beyond those named are not read.
 
-    The corpus is read once per block of items (``BLOCK_CHARS`` characters, the bound of what is broadcast)
-    and never shuffled: each task builds suffix arrays over shards of whole documents and searches all test
-    suffixes in them. Only runs of words that occur in some item can match, so only those enter the array:
+    The corpus is read once (once per ``BLOCK_CHARS`` characters of items, the bound of what is broadcast)
+    and never shuffled: each task builds suffix arrays over shards of whole documents, sorted as far as
+    ``least_words`` words, and searches all test suffixes in them; matches are then followed word by word to
+    their ends. Only runs of words that occur in some item can match, so only those enter the array:
     the matches are the same, the array is a small part of the shard.
     """
     spark = docs.sparkSession
@@ -188,17 +203,22 @@ def _search_batch(batch: pd.DataFrame, items: Items) -> Iterator[pd.DataFrame]:
 
 
 def _matches(batch: pd.DataFrame, items: Items, runs: list[list[int]], starts: list[tuple[int, int]]) -> pd.DataFrame:
-    columns = ["doc", "item", "longest", "doc_word", "item_word"]
-    tokens = np.concatenate([np.array([*run, -1], np.int64) for run in runs])
+    tokens = np.concatenate([np.array([*run, -1], np.int32) for run in runs])
     lengths = np.array([len(r) + 1 for r in runs])
     first = np.cumsum(lengths) - lengths
-    which, position, length = items.search(tokens)
-    run = np.searchsorted(first, position, side="right") - 1
-    row = np.array([s[0] for s in starts])[run]
-    word = np.array([s[1] for s in starts])[run] + position - first[run]
-    frame = pd.DataFrame({"doc": batch["doc"].to_numpy(dtype=object)[row], "item": items.owner[which], "longest": length, "doc_word": word, "item_word": items.start[which]})
-    best = frame.sort_values(["longest", "doc_word", "item_word"], ascending=[False, True, True]).drop_duplicates(["doc", "item"])[columns]
-    return best.astype({"doc": object, "item": object})  # also where there is none: an empty float column is no text
+    rows, words_ = np.array([s[0] for s in starts]), np.array([s[1] for s in starts])
+
+    def longest(found: pd.DataFrame) -> pd.DataFrame:
+        return found.sort_values(["longest", "doc_word", "item_word"], ascending=[False, True, True]).drop_duplicates(["row", "owner"])
+
+    best = pd.DataFrame({"row": [], "owner": [], "longest": [], "doc_word": [], "item_word": []}, dtype="int64")
+    for which, position, length in items.search(tokens):
+        run = np.searchsorted(first, position, side="right") - 1
+        found = pd.DataFrame({"row": rows[run], "owner": items.owner[which], "longest": length, "doc_word": words_[run] + position - first[run], "item_word": items.start[which]})
+        best = longest(pd.concat([best, longest(found)]))
+    docs = batch["doc"].to_numpy(dtype=object)
+    # objects also where there is none: an empty float column is no text
+    return pd.DataFrame({"doc": pd.Series(docs[best["row"].to_numpy()], dtype=object), "item": pd.Series(items.ids[best["owner"].to_numpy()], dtype=object), **{c: best[c].to_numpy() for c in ("longest", "doc_word", "item_word")}})
 
 
 def without_leaks(docs: DataFrame, doc: str, leaks: DataFrame) -> DataFrame:

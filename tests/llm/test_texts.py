@@ -74,6 +74,19 @@ def test_leak_blocks_and_empty(spark, monkeypatch):
     assert contamination.find_leaks(d, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
 
 
+def test_long_items_and_tags(spark):
+    """An item of 50,000 words, a tag of 5,000 characters within a passage, and many copies of one text."""
+    rng = random.Random(5)
+    story = [f"{rng.choice(VOCABULARY)}x{rng.randrange(40)}" for _ in range(50_000)]
+    passage = [f"p{i}" for i in range(16)]
+    tag = '<span title="' + "no words here " * 360 + '">'
+    docs = [("whole", "zz " + " ".join(story) + " zz"), ("part", " ".join(story[30_000:30_040])), ("tag", " ".join(passage[:8]) + tag + " " + " ".join(passage[8:]) + "</span>"), ("none", " ".join(story[7:18]))]
+    docs += [(f"copy{i}", "q " + " ".join(story[100:140])) for i in range(300)]
+    d, it = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([(1, " ".join(story)), (2, " ".join(passage))], "item_id int, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["longest"], r["doc_word"], r["item_word"]) for r in contamination.find_leaks(d, "doc_id", "text", it, "item_id", "text").collect()}
+    assert got == {("whole", 1): (50_000, 1, 0), ("part", 1): (40, 0, 30_000), ("tag", 2): (16, 0, 0), **{(f"copy{i}", 1): (40, 1, 100) for i in range(300)}}
+
+
 def mixture(spark, docs, weights):
     counted = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, source string, n_tokens long, rank string")
     plan = mixing.plan_mixture(counted, "source", spark.createDataFrame(weights, "source string, target_share double, max_repeats int"))
