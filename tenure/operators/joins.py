@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from tenure.session import shuffle_partitions
 
-#: Parts over which the rows of a hot key are spread, and the share of a partition from which a key is hot.
-PARTS, HOT_SHARE = 32, 0.25
+#: Parts over which the rows of a hot key are spread, the share of a partition from which a key is hot, and the rows that one task bears in any case.
+PARTS, HOT_SHARE, BEARABLE = 32, 0.25, 50_000
 
 
-def hot_keys(df: DataFrame, key: str, least: int = PARTS) -> list:
+def hot_keys(df: DataFrame, key: str) -> list:
     """The keys that alone fill a good part of an even partition: at most partitions / HOT_SHARE of them, however many rows there are."""
     rows = df.where(F.col(key).isNotNull())
-    limit = max(least, int(HOT_SHARE * rows.count() / shuffle_partitions(df.sparkSession)))
+    total = rows.count()
+    limit = max(BEARABLE, int(HOT_SHARE * total / shuffle_partitions(df.sparkSession)))
+    if total <= limit:
+        return []
     return [r[0] for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).select(key).collect()]
 
 
@@ -28,7 +31,7 @@ def hot_key_lookup(left: DataFrame, key: str, right: DataFrame, right_key: str,
     columns of left. left is read to find the hot keys: it should be cheap to read again.
     """
     side = right.select(F.col(right_key).alias("__k"), *values)
-    hot = hot_keys(left, key, parts)
+    hot = hot_keys(left, key)
     if not hot:
         return left.join(side, F.col(key) == F.col("__k"), "left").select(*left.columns, *values)
     known = F.array(*[F.lit(h) for h in hot])

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -43,9 +44,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df reliably: the plan behind it is cut, and lost executors can read it again."""
+    """Materialise df reliably: the plan behind it is cut, and lost executors can read it again.
+
+    The result is known by the size of its files. Spark keeps the estimate of the plan that was cut, and
+    estimates of joins multiply: over rounds they grow to numbers of millions of digits.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    spark, jvm = done.sparkSession, done.sparkSession._jvm
+    plan = done._jdf.queryExecution().analyzed()
+    path = jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    # statistics of that size are those of a plan of that size
+    stats = spark.range(max(1, size // 8)).select((F.col("id") + 0).alias("x"))._jdf.queryExecution().analyzed().stats()
+    nothing = jvm.scala.Option.empty()
+    leaf = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), done._jdf.sparkSession(), jvm.scala.Option.apply(stats), nothing
+    )
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(done._jdf.sparkSession(), leaf), spark)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
