@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tenure.functions.text import is_blank, squeeze
 from tenure.llm.components import components
-from tenure.llm.names import common_length
+from tenure.llm.names import common_length, similar_words
+from tenure.operators.joins import hot_key_lookup
 from tenure.session import checkpoint
 
-#: City names learned from the data that are sent to the tasks, the most frequent ones.
-CITIES = 20_000
-#: Size from which a block is refined, and rounds in which incomplete addresses find their location.
-BLOCK, ROUNDS = 64, 4
+#: Words of a city's name at most; share of a name's uses up to which a name one letter away is a slip of it.
+CITY_LENGTH, SLIP_SHARE = 5, 0.2
+#: Size from which a block is refined.
+BLOCK = 64
 
 # Postal words and their short forms.
 DIRECTIONS = {"N": "N", "NO": "N", "NORTH": "N", "S": "S", "SO": "S", "SOUTH": "S", "E": "E", "EAST": "E", "W": "W", "WEST": "W", "NE": "NE", "NW": "NW", "SE": "SE", "SW": "SW", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW"}
@@ -30,12 +31,14 @@ STATES = set("AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA
 # end of fixed values
 
 _TYPE = {short: word for word, shorts in TYPES.items() for short in (word, *shorts)}
-_CARE = re.compile(r"(?:\bC/O\b|\bC O\b|\bCARE OF\b|\bATTN:?)\s*(?:[^,\d]*,|[^\d#]*?(?=\s(?:\d|P\.?\s?O|POB)))\s*")
+# a name before the mark is no part of the location either
+_CARE = re.compile(r"^[^\d#]*?(?:\bC/O\b|\bC O\b|\bC\.O\.|\bCARE OF\b|\bATTN:?)\s*(?:[^,\d]*,|[^\d#]*?(?=\s(?:\d|P\.?\s?O|POB)))\s*|(?:\bC/O\b|\bC O\b|\bCARE OF\b|\bATTN:?)\s*(?:[^,\d]*,|[^\d#]*?(?=\s(?:\d|P\.?\s?O|POB)))\s*")
 _LEADING = re.compile(r"^(\d{5})(?:-\d{4})?\s+([^\d,#]+?)\s+([A-Z]{2})(?:\s*,\s*|\s+-\s+|\s+)(?=\d|#|P\.?\s?O|BOX|APT|UNIT|STE|SUITE)(.*)$")
 _TRAILING = re.compile(r"^(.*?)[\s,-]+([A-Z]{2})[.,]?(?:\s+(\d{5})(?:-?\d{4})?)?$")
 _ONLY_ZIP = re.compile(r"^(.*\D)[\s,-]+(\d{5})(?:-\d{4})?$")
 _UNIT = re.compile(r"(?:\b(?:APARTMENT|APT|UNIT|STE|SUITE|ROOM|RM)\b\.?\s*#?\s*|#\s*)([0-9A-Z]+)\b")
 _BOX = re.compile(r"\b(?:P\s*\.?\s*O\s*\.?\s*BOX|P\.?\s?O\.?\s?B|BOX)\b\.?\s*#?\s*(\d\w*)")
+_NUMBER = re.compile(r"\s*(\d+[A-Z]?\s?-\s?\d+[A-Z]?|\d\w*)(?=[\s,.]|$)")
 FIELDS = ("num", "dir", "street", "kind", "unit", "box", "city", "state", "zip")
 SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
 
@@ -47,90 +50,98 @@ def city_names(text: str) -> list[str]:
     return [" ".join([w, *words[1:]]) for w in first]
 
 
-class Gazetteer:
-    """Known city names, found also with one letter wrong."""
-
-    def __init__(self, names: list[str]) -> None:
-        self.names = set(names)
-        self.by_end: dict[tuple[str, str], list[str]] = {}
-        for name in names:
-            for end in self._ends(name):
-                self.by_end.setdefault(end, []).append(name)
-        self.longest = max([len(n.split()) for n in names], default=0)
-        self.cache: dict[str, str] = {}
-
-    @staticmethod
-    def _ends(name: str) -> list[tuple[str, str]]:
-        return [("^", name[:4]), ("$", name[-4:])]
-
-    def city(self, text: str) -> str:
-        """The known city that is plausibly written so, else the text as a name."""
-        options = city_names(text)
-        return next((n for n in options if n in self.names), "") or next((f for n in options if (f := self.find(n))), "") or next(iter(options), "")
-
-    def find(self, name: str) -> str:
-        """The known city of that name, or ""."""
-        if name in self.names:
-            return name
-        if name not in self.cache:
-            near = [n for end in self._ends(name) for n in self.by_end.get(end, ()) if one_letter(n, name)]
-            self.cache[name] = min(near) if near else ""
-        return self.cache[name]
-
-    def at_end(self, words: list[str]) -> tuple[str, int]:
-        """The longest known city that the words end on, and its number of words."""
-        for exact in (True, False):
-            for k in range(min(self.longest, len(words)), 0, -1):
-                for name in city_names(" ".join(words[-k:])):
-                    found = (name if name in self.names else "") if exact else self.find(name)
-                    if found:
-                        return found, k
-        return "", 0
-
-
 def one_letter(a: str, b: str) -> bool:
     """Equal but for one letter added, lost, changed or two neighbors swapped."""
     longest = max(len(a), len(b))
     return a == b or (longest >= 5 and abs(len(a) - len(b)) <= 1 and common_length(a, b) >= longest - 1)
 
 
-def parse(address: str | None, city: str | None, state: str | None, zip_: str | None, gazetteer: Gazetteer) -> dict[str, str]:
-    """The parts of a written address, normalised; "" where missing.
+def _words(text: str) -> list[str]:
+    return re.sub(r"[^A-Z0-9 ]", " ", text).split()
 
-    The plausible readings of short forms are tried: a last CT is the state only before a postcode or after a
-    city, ST and single letters belong to a city's name if the city is known, else to the street.
-    """
-    out = dict.fromkeys(FIELDS, "")
+
+def _cleaned(address: str | None) -> str:
     text = re.sub(r"\s+", " ", (address or "").upper()).strip(" ,-")
-    text = _CARE.sub("", text, count=1).strip(" ,-")
+    return _CARE.sub("", text, count=1).strip(" ,-")
+
+
+def _place_cuts(text: str) -> list[tuple[str, str, str]]:
+    """(text before, state, postcode) in the plausible ways to cut a place off the end, the likeliest first."""
+    if (m := _TRAILING.match(text)) and m[2] in STATES:
+        cut = (m[1].strip(" ,-"), m[2], m[3] or "")
+        return [cut, (text, "", "")] if m[2] in _TYPE and not m[3] else [cut]
+    if (m := _ONLY_ZIP.match(text)) and len(text.split()) > 2:
+        return [(m[1].strip(" ,-"), "", m[2])]
+    return [(text, "", "")]
+
+
+def city_candidates(address: str | None, city: str | None, state: str | None, zip_: str | None) -> list[tuple[str, bool]]:
+    """(words, named) that may be the city of an address: its column, what stands before a state behind a separator (named), the last words."""
     if city is not None or state is not None or zip_ is not None:
-        out["city"] = gazetteer.city(city or "")
-        out["state"] = (state or "").strip().upper()
-        out["zip"] = (zip_ or "").strip()[:5]
+        return [(" ".join(_words((city or "").upper())), True)] if (city or "").strip() else []
+    text = _cleaned(address)
+    if (m := _LEADING.match(text)) and m[3] in STATES:
+        return [(" ".join(_words(m[2])), True)]
+    found: dict[str, bool] = {}
+    for before, st, _ in _place_cuts(text):
+        _, sep, tail = _split_last(before)
+        if st and sep and tail and not re.search(r"[\d#]", tail) and len(_words(tail)) <= CITY_LENGTH:
+            found[" ".join(_words(tail))] = True
+        words = _words(before)
+        for k in range(1, min(CITY_LENGTH, len(words) - 1) + 1):
+            if not words[-k].isalpha():
+                break
+            found.setdefault(" ".join(words[-k:]), False)
+    return list(found.items())
+
+
+def _known_city(text: str, known: dict[str, str]) -> str:
+    """The known city written so, else the text as a name."""
+    return known.get(" ".join(_words(text)), "") or next(iter(city_names(text)), "")
+
+
+def readings(address: str | None, city: str | None, state: str | None, zip_: str | None, known: dict[str, str]) -> list[dict[str, str]]:
+    """All plausible normalised forms of a written address, the likeliest first: parts, "" where missing.
+
+    A last CT is a state or the street's type; last words are the longest known city, the one behind the
+    separator, or the street's; a number with a hyphen is one or written together; what follows the type is
+    a unit or the street's; N, S, E and W are directions or names; a leading ST is a saint.
+    """
+    text = _cleaned(address)
+    bodies: list[tuple[str, dict[str, str]]] = []
+    if city is not None or state is not None or zip_ is not None:
+        bodies.append((text, {"city": _known_city((city or "").upper(), known), "state": (state or "").strip().upper(), "zip": (zip_ or "").strip()[:5]}))
     elif (m := _LEADING.match(text)) and m[3] in STATES:
-        out["zip"], out["state"], text = m[1], m[3], m[4]
-        out["city"] = gazetteer.city(m[2])
+        bodies.append((m[4], {"city": _known_city(m[2], known), "state": m[3], "zip": m[1]}))
     else:
-        place = None
-        if (m := _TRAILING.match(text)) and m[2] in STATES:
-            before = m[1].strip(" ,-")
-            known = gazetteer.at_end(re.sub(r"[^A-Z0-9 ]", " ", before).split())[1]
-            if m[3] or known or m[2] not in _TYPE:
-                place, out["state"], out["zip"] = before, m[2], m[3] or ""
-        if place is None and (m := _ONLY_ZIP.match(text)) and len(text.split()) > 2:
-            place, out["zip"] = m[1].strip(" ,-"), m[2]
-        if place is not None:
-            text = place
-        # the city behind the last separator, or the longest known one at the end
-        if place is not None or gazetteer.at_end(re.sub(r"[^A-Z0-9 ]", " ", text).split())[1] > 1:
-            head, sep, tail = _split_last(text)
-            words = re.sub(r"[^A-Z0-9 ]", " ", text).split()
-            found, k = gazetteer.at_end(words)
-            if sep and tail and not re.search(r"[\d#]", tail) and not k:
-                out["city"], text = gazetteer.city(tail), head
-            elif k and k < len(words):
-                out["city"] = found
-                text = re.sub(r"(?:[^A-Z0-9]*[A-Z]+){%d}[^A-Z0-9]*$" % k, "", text)
+        for before, st, zp in _place_cuts(text):
+            place = {"city": "", "state": st, "zip": zp}
+            words = _words(before)
+            k = next((k for k in range(min(CITY_LENGTH, len(words) - 1), 0, -1) if " ".join(words[-k:]) in known), 0)
+            cut_off = bool(st or zp)
+            if st in _TYPE and not zp and not k:
+                bodies.append((text, {"city": "", "state": "", "zip": ""}))
+            head, sep, tail = _split_last(before)
+            if cut_off and sep and tail and not re.search(r"[\d#]", tail) and not k:
+                bodies.append((head, place | {"city": _known_city(tail, known)}))
+                continue
+            if k and (cut_off or k > 1):
+                bodies.append((_without_last(before, k), place | {"city": known[" ".join(words[-k:])]}))
+            bodies.append((before, place))
+    out: list[dict[str, str]] = []
+    for body, place in bodies:
+        for reading in _street_readings(body, place):
+            if reading not in out:
+                out.append(reading)
+    return out
+
+
+def _without_last(text: str, k: int) -> str:
+    return text[: [m.start() for m in re.finditer(r"[A-Z0-9]+", text)][-k]]
+
+
+def _street_readings(text: str, place: dict[str, str]) -> list[dict[str, str]]:
+    out = dict.fromkeys(FIELDS, "") | place
     if m := _BOX.search(text):
         out["box"] = m[1].lstrip("0")
         text = text[: m.start()] + " " + text[m.end() :]
@@ -138,28 +149,48 @@ def parse(address: str | None, city: str | None, state: str | None, zip_: str |
     if m := _UNIT.search(text):
         out["unit"] = m[1].lstrip("0")
         text = text[: m.start()] + " " + text[m.end() :]
-    words = re.sub(r"[^A-Z0-9 ]", " ", text).split()
-    if out["box"] and not any(w.isdigit() for w in words):
-        return out
-    if words and words[0][:1].isdigit():
-        out["num"] = words.pop(0)
-    if len(words) > 1 and words[0] in DIRECTIONS:
-        out["dir"] = DIRECTIONS[words.pop(0)]
-    if len(words) > 1 and words[-1] in DIRECTIONS and not out["dir"]:
-        out["dir"] = DIRECTIONS[words.pop()]
-    if len(words) > 1 and words[-1] in _TYPE:
-        out["kind"] = _TYPE[words.pop()]
-    elif not out["city"]:
-        # an unknown city may follow the street's type
-        at = next((i for i in range(len(words) - 1, 0, -1) if words[i] in _TYPE), None)
-        if at is not None:
-            rest = words[at + 1 :]
-            out["kind"], words = _TYPE[words[at]], words[:at]
-            if rest and rest[0] in DIRECTIONS and not out["dir"]:
-                out["dir"] = DIRECTIONS[rest.pop(0)]
-            out["city"] = gazetteer.city(" ".join(rest))
-    out["street"] = " ".join(words)
-    return out
+    numbers = [""]
+    if m := _NUMBER.match(text):
+        numbers = [re.sub(r"\s", "", m[1])]
+        numbers += [numbers[0].replace("-", "")] if "-" in numbers[0] else []
+        rest = _words(text[m.end() :])
+    else:
+        rest = _words(text)
+        if rest and rest[0][:1].isdigit():
+            numbers = [rest.pop(0)]
+    if out["box"] and not any(w.isdigit() for w in rest) and numbers == [""]:
+        return [out]
+    return [out | {"num": n} | street for n in numbers for street in _streets(rest, out)]
+
+
+def _streets(words: list[str], out: dict[str, str]) -> list[dict[str, str]]:
+    """The plausible (dir, street, kind, unit, city) of the words behind the number."""
+    found: list[dict[str, str]] = []
+
+    def add(words_: list[str], **parts: str) -> None:
+        words_, parts = list(words_), {"dir": "", "kind": "", "unit": out["unit"], "city": out["city"]} | parts
+        if len(words_) > 1 and words_[0] in DIRECTIONS and not (len(words_) == 2 and words_[1] in _TYPE):
+            parts["dir"] = DIRECTIONS[words_.pop(0)]
+        if len(words_) > 1 and words_[-1] in DIRECTIONS and not parts["dir"]:
+            parts["dir"] = DIRECTIONS[words_.pop()]
+        if len(words_) > 1 and words_[-1] in _TYPE:
+            parts["kind"] = _TYPE[words_.pop()]
+        elif not parts["city"] and not parts["kind"] and (at := next((i for i in range(len(words_) - 1, 0, -1) if words_[i] in _TYPE), None)) is not None:
+            # an unknown city may follow the street's type
+            rest = words_[at + 1 :]
+            parts["kind"], words_ = _TYPE[words_[at]], words_[:at]
+            if rest and rest[0] in DIRECTIONS and not parts["dir"]:
+                parts["dir"] = DIRECTIONS[rest.pop(0)]
+            parts["city"] = next(iter(city_names(" ".join(rest))), "")
+        if len(words_) > 1 and words_[0] == "ST":
+            found.append(parts | {"street": " ".join(["SAINT", *words_[1:]])})
+        found.append(parts | {"street": " ".join(words_)})
+
+    # a last word with a digit, or a single letter, behind the type is a unit without its mark
+    if not out["unit"] and len(words) > 2 and (any(ch.isdigit() for ch in words[-1]) or (len(words[-1]) == 1 and words[-1] not in DIRECTIONS)) and any(w in _TYPE for w in words[1:-1]):
+        add(words[:-1], unit=words[-1].lstrip("0"))
+    add(words)
+    return found
 
 
 def _split_last(text: str) -> tuple[str, str, str]:
@@ -254,56 +285,89 @@ def compare(a: dict, b: dict) -> str:
     return "cross" if less and more else "less" if less else "more" if more else "equal"
 
 
-def known_cities(register: DataFrame, address: str, city: str) -> list[str]:
-    """The most frequent city names of the register: its city column, and what stands before a state behind a comma."""
-    written = F.regexp_extract(F.upper(F.col(address)), r"(?:,| - )\s*([A-Z][A-Z. ]+?)\s+[A-Z]{2}(?:\s+\d{5}(?:-\d{4})?)?\s*$", 1)
-    names = register.select(F.explode(F.array(F.upper(F.col(city)), written)).alias("c")).where(~is_blank(F.col("c")))
-    counts = names.groupBy(squeeze(F.col("c")).alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "c").limit(CITIES).collect()
-    total: dict[str, int] = {}
-    # names written in full first: a short form counts for the one of its readings that is in use
-    for row in sorted(counts, key=lambda r: len(city_names(r["c"])) != 1 or city_names(r["c"])[0] != " ".join(r["c"].split())):
-        if options := city_names(row["c"]):
-            name = next((n for n in options if n in total), options[0])
-            total[name] = total.get(name, 0) + row["n"]
-    # a name one letter from a much more frequent one is a slip of it
-    ranked = sorted((n for n in total if n and not re.search(r"\b(?:BOX|APT|UNIT|STE)\b", n)), key=lambda n: (-total[n], n))
-    kept: list[str] = []
-    near: dict[tuple[str, str], list[str]] = {}
-    for name in ranked:
-        ends = Gazetteer._ends(name)
-        if any(one_letter(name, other) and total[name] <= 0.2 * total[other] for end in ends for other in near.get(end, ())):
-            continue
-        kept.append(name)
-        for end in ends:
-            near.setdefault(end, []).append(name)
-    return kept
+def _gazetteer(candidates: DataFrame) -> DataFrame:
+    """(c, city): what each candidate stands for, if it is a known city or one slip away from one.
+
+    candidates: (c, options, n_named, n). Known are the names that were written as a city, short forms counted for
+    the one of their readings that is in use. A name one letter from a much more frequent one is a slip of it.
+    """
+    named = checkpoint(candidates.where("n_named > 0").select("c", "options", "n_named"))
+    plain = named.where(F.size("options") == 1).select(F.col("options")[0].alias("name"), "n_named").groupBy("name").agg(F.sum("n_named").alias("n"))
+    read = named.select("c", "n_named", F.posexplode("options").alias("pos", "name")).join(plain.select("name", F.lit(0).alias("used")), "name", "left")
+    chosen = read.groupBy("c", "n_named").agg(F.min_by("name", F.struct(F.coalesce("used", F.lit(1)), "pos")).alias("name"))
+    totals = checkpoint(chosen.groupBy("name").agg(F.sum("n_named").alias("n")).where(~F.col("name").rlike(r"\b(BOX|APT|UNIT|STE|SUITE)\b")))
+    # candidates in all their readings, exactly or by a slip
+    options = checkpoint(candidates.select("c", F.posexplode("options").alias("pos", "name")))
+    near = similar_words(options.select(F.col("name").alias("w")).distinct().where(F.length("w") >= 5), totals.select(F.col("name").alias("w")))
+    a, b = totals.select(F.col("name").alias("a"), F.col("n").alias("n_a")), totals.select(F.col("name").alias("b"), F.col("n").alias("n_b"))
+    near = near.join(b, "b").join(a, "a", "left").where(F.col("n_a").isNull() | (F.col("n_a") <= SLIP_SHARE * F.col("n_b")))
+    slips = checkpoint(near.groupBy("a").agg(F.max_by("b", F.struct("ratio", "n_b", "b")).alias("city")))
+    exact = totals.join(slips.select(F.col("a").alias("name")), "name", "left_anti").select("name", F.col("name").alias("city"), F.lit(0).alias("how"))
+    meaning = exact.unionByName(slips.select(F.col("a").alias("name"), "city", F.lit(1).alias("how")))
+    return options.join(meaning, "name").groupBy("c").agg(F.min_by("city", F.struct("how", "pos", "city")).alias("city"))
+
+
+def read_addresses(rows: DataFrame) -> DataFrame:
+    """(raw, p, times): for each distinct (a, c, s, z) the reading of the address that others share, else the likeliest.
+
+    Every plausible reading is exploded with hashes of two combinations of its parts, all of them and all but
+    the postcode. Of a form with several readings, the one counts whose hashes other forms' likeliest readings share.
+    """
+
+    @F.pandas_udf("array<struct<c string, options array<string>, named boolean>>")
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[{"c": c, "options": city_names(c), "named": named} for c, named in city_candidates(*row)] for row in _rows(batch)], dtype=object)
+
+    @F.pandas_udf(f"array<struct<{SCHEMA}>>")
+    def read(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
+        for batch, known in batches:
+            yield pd.Series([readings(*row, {x["c"]: x["city"] for x in (k if k is not None else ())}) for row, k in zip(_rows(batch), known)], dtype=object)
+
+    fields = F.struct("a", "c", "s", "z")
+    distinct = rows.groupBy("raw", "a", "c", "s", "z").agg(F.count(F.lit(1)).alias("times"))
+    distinct = checkpoint(distinct.withColumn("cs", candidates(fields)))
+    options = checkpoint(distinct.select("raw", "times", F.explode("cs").alias("o")).select("raw", "times", "o.*"))
+    seen = options.where(F.size("options") > 0).groupBy("c").agg(F.first("options").alias("options"), F.sum(F.when(F.col("named"), F.col("times")).otherwise(0)).alias("n_named"))
+    cities = checkpoint(_gazetteer(seen))
+    known = hot_key_lookup(options.select("raw", "c"), "c", cities.withColumnRenamed("c", "name"), "name", ["city"]).where("city is not null").groupBy("raw").agg(F.collect_list(F.struct("c", "city")).alias("known"))
+    forms = checkpoint(distinct.join(known, "raw", "left").select("raw", "a", "times", read(fields, F.col("known")).alias("ps")))
+
+    full = F.xxhash64(*[f"p.{f}" for f in FIELDS])
+    core = F.xxhash64(F.lit("core"), *[f"p.{f}" for f in FIELDS if f != "zip"])
+    first = forms.select("raw", F.col("ps")[0].alias("p")).select("raw", F.explode(F.array(full, core)).alias("h"))
+    shared = first.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    several = forms.where(F.size("ps") > 1).select("raw", F.posexplode("ps").alias("pos", "p"))
+    hashes = several.select("raw", "pos", F.posexplode(F.array(full, core)).alias("which", "h")).join(shared, "h")
+    others = hashes.where(F.col("n") > F.when(F.col("pos") == 0, 1).otherwise(0)).groupBy("raw", "pos").agg(F.max(F.when(F.col("which") == 0, 2).otherwise(1)).alias("met"))
+    best = others.groupBy("raw").agg(F.max_by("pos", F.struct("met", -F.col("pos"))).alias("best"))
+    return forms.join(best, "raw", "left").select("raw", "a", "times", F.element_at("ps", F.coalesce("best", F.lit(0)) + 1).alias("p"))
+
+
+def _rows(batch: pd.DataFrame) -> Iterator[tuple]:
+    return zip(*[batch[c].astype(object).where(batch[c].notna(), None) for c in ("a", "c", "s", "z")])
 
 
 def locations(register: DataFrame, entry: str, address: str, city: str, state: str, zip_: str) -> DataFrame:
     """(entry, location_id) for every entry with an address that is not blank.
 
-    Addresses are parsed in their plausible readings and equal forms collapse. Hashes of combinations of parts
-    are exploded and joined, common ones by the parts that both sides have; candidates whose house or box numbers, units, types, directions or places conflict
-    are rejected. Forms that differ by a letter of street or city, or two swapped digits of the postcode, are one. A form that lacks parts
-    joins a location if it is the only one that has the rest: decided on whole groups, in rounds, so that what
-    a group has learned from one member counts for all. Null and blank addresses, and those without number and
-    box, are in no group of others. Entries should be unique.
+    Addresses are expanded into their plausible readings (``read_addresses``), and equal forms collapse. Hashes of
+    combinations of parts are exploded and joined, common ones by the parts that both sides have; candidates
+    whose house or box numbers, units, types, directions or places conflict are rejected. Forms that differ by a
+    letter of street or city, or two swapped digits of the postcode, are one. A form that lacks parts joins a
+    location if it is the only one that has the rest: decided on whole groups, in rounds until none moves, so that
+    what a group has learned from one member counts for all. Null and blank addresses are in no group; those
+    without number and box group with the same text only. Entries should be unique.
     """
-    gazetteer = register.sparkSession.sparkContext.broadcast(Gazetteer(known_cities(register, address, city)))
-
-    @F.pandas_udf(SCHEMA)
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = zip(*[batch[c].astype(object).where(batch[c].notna(), None) for c in ("a", "c", "s", "z")])
-            yield pd.DataFrame([parse(*row, gazetteer.value) for row in rows], columns=list(FIELDS))
-
     rows = register.where(F.col(entry).isNotNull() & ~is_blank(F.col(address)))
-    read = rows.select(F.col(entry).alias("entry"), parsed(F.struct(F.col(address).alias("a"), F.col(city).alias("c"), F.col(state).alias("s"), F.col(zip_).alias("z"))).alias("p"), F.col(address).alias("raw"))
+    rows = rows.select(F.col(entry).alias("entry"), F.col(address).alias("a"), F.col(city).alias("c"), F.col(state).alias("s"), F.col(zip_).alias("z"))
+    rows = rows.withColumn("raw", F.sha2(F.to_json(F.struct("a", "c", "s", "z")), 256))
+    read = read_addresses(rows.select("raw", "a", "c", "s", "z"))
     lost = (F.col("p.num") == "") & (F.col("p.box") == "")
-    form = F.sha2(F.when(lost, F.concat_ws("|", F.lit("?"), F.lower(squeeze(F.col("raw"))), "p.zip", "p.city")).otherwise(F.concat_ws("|", *[f"p.{f}" for f in FIELDS])), 256)
-    entries = checkpoint(read.select("entry", form.alias("form"), "p"))
+    form = F.sha2(F.when(lost, F.concat_ws("|", F.lit("?"), F.lower(squeeze(F.col("a"))), "p.zip", "p.city")).otherwise(F.concat_ws("|", *[f"p.{f}" for f in FIELDS])), 256)
+    raws = checkpoint(read.select("raw", "times", form.alias("hash"), "p"))
     # short numbers for the forms: fixed once checkpointed, and all that the joins below move
-    forms = checkpoint(entries.groupBy(F.col("form").alias("hash")).agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("times")).withColumn("form", F.monotonically_increasing_id()))
+    forms = checkpoint(raws.groupBy("hash").agg(F.min("p").alias("p"), F.sum("times").alias("times")).withColumn("form", F.monotonically_increasing_id()))
 
     @F.pandas_udf("array<string>")
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -320,42 +384,50 @@ def locations(register: DataFrame, entry: str, address: str, city: str, state: s
     met = met.join(firm, "form").join(firm.select(F.col("form").alias("form_b"), F.col("f").alias("g")), "form_b")
     for part in ("dir", "kind", "unit", "state"):
         met = met.where((F.col(f"f.{part}") == F.col(f"g.{part}")) | (F.col(f"f.{part}") == "") | (F.col(f"g.{part}") == ""))
-    pairs = checkpoint(met.select("form", "form_b"))
 
     @F.pandas_udf("string")
     def compared(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
         for left, right in batches:
             yield pd.Series([compare(a, b) for a, b in zip(left.to_dict("records"), right.to_dict("records"))])
 
-    def related(groups: DataFrame, parts: DataFrame, candidates: DataFrame) -> DataFrame:
-        """(x, y, how) for the pairs of groups that do not conflict."""
-        ends = candidates.join(groups.select(F.col("form"), F.col("group").alias("x")), "form").join(groups.select(F.col("form").alias("form_b"), F.col("group").alias("y")), "form_b")
-        ends = ends.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    def related(ends: DataFrame, parts: DataFrame) -> DataFrame:
+        """(x, y, how) for the pairs (x, y) of groups that do not conflict."""
         wide = ends.join(parts.select(F.col("group").alias("x"), F.col("p").alias("px")), "x").join(parts.select(F.col("group").alias("y"), F.col("p").alias("py")), "y")
         return wide.select("x", "y", compared("px", "py").alias("how")).where("how <> ''")
 
-    alone = forms.select("form", F.col("form").alias("group"))
-    first = checkpoint(related(alone, forms.select(F.col("form").alias("group"), "p"), pairs))
+    first = checkpoint(related(met.select(F.col("form").alias("x"), F.col("form_b").alias("y")), forms.select(F.col("form").alias("group"), "p")))
     # only forms without a conflict of their own can ever be in one group
     candidates = first.select(F.col("x").alias("form"), F.col("y").alias("form_b"))
-    roots = components(first.where("how = 'equal'"), "x", "y")
-    groups = forms.select("form", "p", "times").join(roots.withColumnRenamed("node", "form"), "form", "left").select("form", "p", "times", F.coalesce("root", "form").alias("group"))
-    for _ in range(ROUNDS):
-        groups = checkpoint(groups)
-        # what a group knows: of each part the value written most often
-        long = groups.select("group", "times", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"p.{f}").alias("v")) for f in FIELDS])).alias("o")).where("o.v <> ''")
-        written = long.groupBy("group", "o.f", "o.v").agg(F.sum("times").alias("n")).groupBy("group", "f").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-        known = written.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("m"))
-        parts = known.select("group", F.struct(*[F.coalesce(F.try_element_at("m", F.lit(f)), F.lit("")).alias(f) for f in FIELDS]).alias("p"))
-        links = checkpoint(related(groups.select("form", "group"), parts, candidates))
+    moves = components(first.where("how = 'equal'"), "x", "y")
+    groups = forms.select("form", "p", "times", F.col("form").alias("group"))
+    parts, links = groups.select("group", "p"), first
+    while not moves.isEmpty():
+        groups = checkpoint(groups.join(moves.withColumnRenamed("node", "group"), "group", "left").select("form", "p", "times", F.coalesce("root", "group").alias("group")))
+        # all that moved is read anew, the rest stands
+        moved, roots = moves.select(F.col("node").alias("group")), moves.select(F.col("root").alias("group")).distinct()
+        parts = checkpoint(parts.join(moved, "group", "left_anti").unionByName(_known_parts(groups.join(roots, "group", "left_semi"))))
+        at = groups.select("form", "group")
+        ends = candidates.join(at.withColumnRenamed("group", "x"), "form").join(at.select(F.col("form").alias("form_b"), F.col("group").alias("y")), "form_b").where("x <> y")
+        touched = roots.withColumn("hit", F.lit(True))
+        ends = ends.join(touched.withColumnRenamed("group", "x").withColumnRenamed("hit", "hit_x"), "x", "left").join(touched.withColumnRenamed("group", "y").withColumnRenamed("hit", "hit_y"), "y", "left")
+        ends = ends.where("hit_x or hit_y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        kept = links.join(moved.withColumnRenamed("group", "x"), "x", "left_anti").join(moved.withColumnRenamed("group", "y"), "y", "left_anti")
+        links = checkpoint(kept.unionByName(related(ends, parts)))
         moves = _moves(links)
-        groups = groups.join(moves, F.col("group") == F.col("from"), "left").select("form", "p", "times", F.coalesce("to", "group").alias("group"))
-    found = entries.select("entry", F.col("form").alias("hash")).join(forms.select("hash", "form"), "hash")
+    found = rows.select("entry", "raw").join(raws.select("raw", "hash"), "raw").join(forms.select("hash", "form"), "hash")
     return found.join(groups.select("form", "group"), "form").select(F.col("entry").alias(entry), F.col("group").alias("location_id"))
 
 
+def _known_parts(groups: DataFrame) -> DataFrame:
+    """(group, p): what a group knows, of each part the value written most often."""
+    long = groups.select("group", "times", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"p.{f}").alias("v")) for f in FIELDS])).alias("o")).where("o.v <> ''")
+    written = long.groupBy("group", "o.f", "o.v").agg(F.sum("times").alias("n")).groupBy("group", "f").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    known = written.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("m"))
+    return known.select("group", F.struct(*[F.coalesce(F.try_element_at("m", F.lit(f)), F.lit("")).alias(f) for f in FIELDS]).alias("p"))
+
+
 def _moves(links: DataFrame) -> DataFrame:
-    """(from, to): groups that join another, given how they relate.
+    """(node, root): groups that join another, given how they relate; all that join along a chain share a root.
 
     A group may join if a single one has the rest of it; two that each lack something must be each other's only.
     """
@@ -368,6 +440,5 @@ def _moves(links: DataFrame) -> DataFrame:
     rest = rest.join(first, "g").where(F.col("rank") == rank)
     only = rest.groupBy("g").agg(F.min("h").alias("h"), F.max("h").alias("last"), F.min("how").alias("how")).where("h = last").select("g", "h", "how")
     mutual = only.select(F.col("g").alias("h"), F.col("h").alias("g"), F.lit(True).alias("mutual"))
-    fit = checkpoint(only.join(mutual, ["g", "h"], "left").where((F.col("how") != "cross") | F.col("mutual")).select(F.col("g").alias("from"), F.col("h").alias("to")))
-    beyond = fit.select(F.col("from").alias("to"), F.col("to").alias("beyond"))
-    return fit.join(beyond, "to", "left").select("from", F.when(F.col("beyond") == F.col("from"), F.least("from", "to")).otherwise(F.coalesce("beyond", "to")).alias("to"))
+    fit = only.join(mutual, ["g", "h"], "left").where((F.col("how") != "cross") | F.col("mutual")).select("g", "h")
+    return components(fit, "g", "h")

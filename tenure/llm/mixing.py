@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import base64
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,22 +12,27 @@ from pyspark.sql import functions as F
 from tenure.operators.ranges import Scan, ranged_scan
 from tenure.session import checkpoint
 
-#: Vocabulary of a public byte-level BPE tokenizer; must be readable on every executor.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Ranks of a public byte-level BPE tokenizer, one "base64 rank" per line, and the pattern by which it splits text into words.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def token_counts(docs: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """docs with n_tokens in place of the text: tokens of the whole text, 0 for null and empty ones."""
+    """docs with n_tokens in place of the text: tokens of the whole text, 0 for null and empty ones.
+
+    The driver reads the file and sends it along (a vocabulary, of bounded size): executors need not have it.
+    """
+    with open(tokenizer, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True
+        table = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, ranks.value.splitlines())}
+        model = tiktoken.Encoding("counts", pat_str=WORDS, mergeable_ranks=table, special_tokens={})
         for texts in batches:
-            yield pd.Series([len(e) for e in model.encode_batch_fast(texts.tolist(), add_special_tokens=False)], dtype="int64")
+            yield pd.Series([len(model.encode_ordinary(t)) for t in texts], dtype="int64")
 
     return docs.select(*[c for c in docs.columns if c != text], count(F.coalesce(F.col(text), F.lit(""))).alias("n_tokens"))
 
@@ -68,9 +73,11 @@ def draw(counted: DataFrame, doc: str, source: str, plan: DataFrame, seed: int =
     ordered = rows.withColumn("tie", F.xxhash64(F.lit(seed), "doc"))
     ranked = ranged_scan(ordered, ["source"], ["n_tokens", "tie", "doc"], {"rank": Scan("sum", F.lit(1))})
     offset = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    per_source = plan.select(F.col("source").alias("__s"), "copies")
+    per_source = plan.select(F.col("source").alias("__s"), "copies", "max_repeats")
     placed = ranked.join(per_source, F.col("source") == F.col("__s"))
-    times = F.floor(offset + F.col("copies") * F.col("rank")) - F.floor(offset + F.col("copies") * (F.col("rank") - 1))
+    crossed = F.floor(offset + F.col("copies") * F.col("rank")) - F.floor(offset + F.col("copies") * (F.col("rank") - 1))
+    # at a large rank the product may be rounded past a boundary
+    times = F.least(crossed, F.col("max_repeats"))
     drawn = placed.withColumn("__n", times.cast("int")).where("__n > 0")
     return drawn.select(F.col("doc").alias(doc), F.col("source").alias(source), "n_tokens", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy_no"))
 

@@ -148,33 +148,35 @@ def without_one(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), F.when(F.length(text) > 0, shorter).otherwise(F.array().cast("array<string>"))))
 
 
-def similar_words(words: DataFrame) -> DataFrame:
-    """(a, b, ratio) for words that differ by one slip, in both orders. words: (w, real), w distinct; words that are not real are no a.
+def similar_words(asking: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, ratio): words of asking with the other words of known that are one slip away. Both: (w), distinct.
 
-    The index holds every suffix of a word and of its mirror image from ``LEAST_SUFFIX`` letters on, or a little
-    under half of the word if that is more. One letter added, lost, changed or two neighbors swapped leave half of
-    a word's other letters on one of its sides: so each word looks up its two halves. A common suffix is
+    The index holds every suffix of a known word and of its mirror image from ``LEAST_SUFFIX`` letters on, or a
+    little under half of the word if that is more. One letter added, lost, changed or two neighbors swapped leave
+    half of a word's other letters on one of its sides: so a word asks with its two halves. A common suffix is
     refined by what is left of the rest of the word without any one letter, which parts no such pair. Words that
     are too short for a half of the least length meet by what is left of the whole word without any one letter.
     Pairs are compared by the longest common subsequence: all letters but one of the longer word.
     """
     n = F.length("w")
-    known = words.where(n >= LEAST_WORD - 1)
+    asking, known = asking.where(n >= LEAST_WORD - 1), known.where(n >= LEAST_WORD - 1)
     half = F.floor((n - 2) / 2).cast("int")
     least = F.greatest(F.lit(LEAST_SUFFIX), F.floor((n - 3) / 2).cast("int"))
     # of a very long word only those suffixes that a word of about its length looks up
-    index = known.select("w", "real", F.explode(suffixes(F.col("w"), least, F.when(n <= ALL_SUFFIXES, n).otherwise(least + 2))).alias("x")).select("w", "real", "x.*")
-    index = checkpoint(index.select("w", "real", F.xxhash64("side", "s").alias("k"), "rest"))
+    index = known.select("w", F.explode(suffixes(F.col("w"), least, F.when(n <= ALL_SUFFIXES, n).otherwise(least + 2))).alias("x")).select("w", "x.*")
+    index = checkpoint(index.select("w", F.xxhash64("side", "s").alias("k"), "rest"))
     common = index.groupBy("k").agg(F.count(F.lit(1)).alias("n_words")).where(F.col("n_words") > BLOCK).select("k")
-    probes = known.where((half >= LEAST_SUFFIX) & F.col("real")).select("w", F.explode(suffixes(F.col("w"), half, half)).alias("x")).select("w", F.xxhash64("x.side", "x.s").alias("k"), "x.rest")
+    probes = asking.where(half >= LEAST_SUFFIX).select("w", F.explode(suffixes(F.col("w"), half, half)).alias("x")).select("w", F.xxhash64("x.side", "x.s").alias("k"), "x.rest")
 
     def refined(rows: DataFrame) -> DataFrame:
         return rows.join(common, "k", "left_semi").select("w", F.explode(without_one(F.col("rest"))).alias("r"), "k").select("w", F.xxhash64("k", "r").alias("k"))
 
-    short = known.where(half <= LEAST_SUFFIX).select("w", "real", F.explode(without_one(F.col("w"))).alias("r")).select("w", "real", F.xxhash64(F.lit("whole"), "r").alias("k"))
-    asking = probes.join(common, "k", "left_anti").select("w", "k").unionByName(refined(probes)).unionByName(short.where("real").select("w", "k"))
-    asked = index.join(common, "k", "left_anti").select("w", "k").unionByName(refined(index)).unionByName(short.select("w", "k"))
-    met = asking.withColumnRenamed("w", "a").join(asked.withColumnRenamed("w", "b"), "k").where("a <> b")
+    def short(rows: DataFrame) -> DataFrame:
+        return rows.where(half <= LEAST_SUFFIX).select("w", F.explode(without_one(F.col("w"))).alias("r")).select("w", F.xxhash64(F.lit("whole"), "r").alias("k"))
+
+    asks = probes.join(common, "k", "left_anti").select("w", "k").unionByName(refined(probes)).unionByName(short(asking))
+    asked = index.join(common, "k", "left_anti").select("w", "k").unionByName(refined(index)).unionByName(short(known))
+    met = asks.withColumnRenamed("w", "a").join(asked.withColumnRenamed("w", "b"), "k").where("a <> b")
     # a swap counts two here: nothing that one slip makes is lost
     met = met.where((F.greatest(F.length("a"), F.length("b")) >= LEAST_WORD) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 2) >= 0)).select("a", "b").distinct()
 
@@ -183,9 +185,7 @@ def similar_words(words: DataFrame) -> DataFrame:
         for a, b in batches:
             yield pd.Series([slip_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    found = met.select("a", "b", ratio("a", "b").alias("ratio")).where("ratio > 0")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
-    return both.groupBy("a", "b").agg(F.max("ratio").alias("ratio")).join(words.where("real").select(F.col("w").alias("a")), "a", "left_semi")
+    return met.select("a", "b", ratio("a", "b").alias("ratio")).where("ratio > 0")
 
 
 def slip_ratio(a: str, b: str) -> float:
@@ -256,8 +256,8 @@ def _places(named: DataFrame) -> DataFrame:
     pair = F.flatten(F.transform("words", lambda a, i: F.transform(F.filter(F.transform("words", lambda b, j: F.struct(b.alias("b"), j.alias("j"))), lambda y: (y.j > i) & (F.length(a) + F.length(y.b) >= 6)), lambda y: F.struct(i.alias("i"), y.j.alias("j"), F.concat(a, y.b).alias("w")))))
     joined = named.select("id", F.explode(pair).alias("o")).select("id", "o.*")
     glued = joined.select("w").distinct().join(counts.select(F.col("word").alias("w")), "w", "left_anti")
-    vocabulary = counts.select(F.col("word").alias("w"), F.lit(True).alias("real")).unionByName(glued.select("w", F.lit(False).alias("real")))
-    similar = checkpoint(similar_words(vocabulary))
+    typed = counts.select(F.col("word").alias("w"))
+    similar = checkpoint(similar_words(typed, typed.unionByName(glued)))
 
     # what a rarer word may stand for
     a, b = counts.select(F.col("word").alias("a"), F.col("df").alias("df_a")), counts.select(F.col("word").alias("b"), F.col("df").alias("df_b"))

@@ -70,8 +70,8 @@ def test_suffix_blocks_lose_no_pair(spark, monkeypatch, block):
     for w in list(words):
         i = rng.randrange(len(w) - 1)
         words |= {w[:i] + w[i + 1 :], w[:i] + "D" + w[i:], w[:i] + "E" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]}
-    frame = spark.createDataFrame([(w, True) for w in words], "w string, real boolean")
-    got = {(r["a"], r["b"]) for r in names.similar_words(frame).collect()}
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {(r["a"], r["b"]) for r in names.similar_words(frame, frame).collect()}
 
     def edits(w):
         return {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in "ABCDE"} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
@@ -171,14 +171,72 @@ def test_common_address_blocks_lose_no_pair(spark):
     assert sorted(tower[0]) in got and sorted(boxes[0]) in got
 
 
+def read(text, known=()):
+    return addresses.readings(text, None, None, None, {c: c for c in known})
+
+
 def test_linked_addresses_share_a_key():
-    gazetteer = addresses.Gazetteer(["NORTH KESTEN"])
     streets = ["BRANDOVER", "BRANDVOER", "RBANDOVER", "BRNDOVER", "BRANDOVERR", "XRANDOVEY", "MAIN", "MAINS", "AMIN"]
-    parsed = [addresses.parse(f"1 {s} ST", "NORTH KESTEN", "IL", z, gazetteer) for s in streets for z in ("", "93897")]
+    parsed = [addresses.readings(f"1 {s} ST", "NORTH KESTEN", "IL", z, {})[0] for s in streets for z in ("", "93897")]
     for a, b in combinations(parsed, 2):
         assert not addresses.compare(a, b) or set(addresses.keys(a)) & set(addresses.keys(b)), (a, b)
 
 
+def test_readings():
+    forms = lambda text, *known: [{k: v for k, v in r.items() if v} for r in read(text, known)]
+    unit = {"num": "100", "street": "MAIN", "kind": "STREET", "unit": "4B", "city": "BROOKLYN", "state": "NY", "zip": "11201"}
+    assert forms("100 MAIN ST 4B, BROOKLYN, NY 11201", "BROOKLYN")[0] == unit == forms("100 Main St. Apt 4B Brooklyn NY 11201", "BROOKLYN")[0]
+    assert forms("JOHN DOE C/O ACME CORP, 55 OAK AVE, BROOKLYN NY 11201", "BROOKLYN") == [{"num": "55", "street": "OAK", "kind": "AVENUE", "city": "BROOKLYN", "state": "NY", "zip": "11201"}]
+    assert forms("100-12 QUEENS BLVD") == [{"num": n, "street": "QUEENS", "kind": "BOULEVARD"} for n in ("100-12", "10012")]
+    assert forms("20 NORTH ST") == [{"num": "20", "street": "NORTH", "kind": "STREET"}]
+    assert {"num": "57", "street": "BEBRES", "state": "CT"} in forms("57 BEBRES CT") and forms("57 BEBRES CT")[0]["kind"] == "COURT"
+    assert {r["street"] for r in forms("12 ST JAMES PL")} == {"SAINT JAMES", "ST JAMES"}
+    assert read("", ()) and read(None, ()) and len(read("A " * 3000, ())) >= 1
+
+
+def test_other_forms_decide_between_readings(spark):
+    """A number written together joins the one with a hyphen; a unit without mark the one with it; a name before the care-of mark is none."""
+    same = [["100-12 QUEENS BLVD, NORTH KESTEN IL 93897", "10012 QUEENS BLVD, NORTH KESTEN IL 93897"], ["100 MAIN ST 4B, NORTH KESTEN IL 93897", "100 MAIN STREET APT 4B, NORTH KESTEN IL 93897"], ["100 MAIN ST 4C, NORTH KESTEN IL 93897"],
+            ["JOHN DOE C/O ACME CORP, 55 OAK AVE, NORTH KESTEN IL 93897", "55 OAK AVENUE, NORTH KESTEN IL 93897"]]
+    frame = spark.createDataFrame([(a, a, None, None, None) for g in same for a in g], "id string, a string, city string, state string, zip string")
+    assert groups(addresses.locations(frame, "id", "a", "city", "state", "zip"), "id", "location_id") == sorted(sorted(g) for g in same)
+
+
+def labelled_addresses(places: int, seed: int):
+    """(id, address, city, state, zip, place) as typed: shortened, reordered, mistyped, without parts."""
+    rng = random.Random(seed)
+    part = lambda n: "".join(rng.choice("BDFGKLMNPRSTVZ") + rng.choice("AEIOU") for _ in range(n))
+    cities = [(f"{side} {part(3)}", st, str(rng.randrange(10000, 99999))) for side in ("NORTH", "LAKE", "PORT") for st in ("IL", "PA", "CT") for _ in range(2)]
+    streets = [(part(4), kind, short) for kind, short in (("STREET", "ST"), ("AVENUE", "AVE"), ("COURT", "CT"), ("LANE", "LN")) for _ in range(max(6, places // 20))]
+    rows, seen = [], set()
+    for place in range(places):
+        number, (street, kind, short), (city, st, zp), unit = rng.randrange(1, 2000), rng.choice(streets), rng.choice(cities), rng.choice(["", "", "4B", "12"])
+        if (number, street) in seen:
+            continue
+        seen.add((number, street))
+        i = rng.randrange(1, len(street) - 2)
+        slip = street[:i] + street[i + 1] + street[i] + street[i + 2 :]
+        apt, hash_, bare = (f" APT {unit}", f" #{unit}", f" {unit}") if unit else ("", "", "")
+        texts = [f"{number} {street} {kind}{apt}, {city} {st} {zp}", f"{number} {street.title()} {short}{hash_} {city} {st} {zp}-1234", f"{number} {street} {short}{bare}, {city}, {st} {zp}", f"C/O OWNER, {number} {slip} {short}{apt}, {city} {st} {zp}", f"{number} {street} {kind}{apt}, {city} {st}"]
+        rows += [(t, None, None, None, place) for t in rng.sample(texts, 3)] + [(f"{number} {street} {short}{apt}", city, st, zp, place)]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("places", [60, 600])
+def test_address_recall_and_precision(spark, places):
+    rows = labelled_addresses(places, places)
+    frame = spark.createDataFrame(rows, "id int, a string, city string, state string, zip string, place int")
+    found, place = {}, {r[0]: r[5] for r in rows}
+    for r in addresses.locations(frame, "id", "a", "city", "state", "zip").collect():
+        found.setdefault(r["location_id"], []).append(r["id"])
+    true = {}
+    for i, p in place.items():
+        true.setdefault(p, []).append(i)
+    got = {p for g in found.values() for p in combinations(sorted(g), 2)}
+    want = {p for g in true.values() for p in combinations(sorted(g), 2)}
+    assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got), (len(got), len(want), len(got & want))
+
+
 def test_no_addresses(spark):
     frame = spark.createDataFrame([], "id string, a string, city string, state string, zip string")
     assert addresses.locations(frame, "id", "a", "city", "state", "zip").count() == 0
