@@ -59,3 +59,25 @@ def as_of_years(intervals: DataFrame, recorded: str, first: int, last: int) -> D
     end = F.coalesce(F.year("until") - 1, F.lit(last))
     end = F.least(end, F.lit(last))
     return intervals.where(start <= end).withColumn("year", F.explode(F.sequence(start, end)))
+
+
+def history_shares(held: DataFrame, stock_size: int, years: Sequence[int], informative: Column, entity: Column, private: Column, units: str) -> DataFrame:
+    """One row per year: rebuilt private stock, its entity shares, those of the informative types, and the share of today's stock covered.
+
+    Rows without a type are out of the universe; years in which nothing was held have zeros.
+    """
+    u = F.coalesce(F.col(units), F.lit(0))
+    count = lambda what: F.count_if(private & what)
+    total = lambda what: F.coalesce(F.sum(F.when(private & what, u)), F.lit(0)).cast("bigint")
+    all_ = F.lit(True)
+    rows = held.groupBy("year").agg(
+        F.count(F.lit(1)).alias("covered"), count(all_).alias("parcels"), total(all_).alias("units"), count(entity).alias("entity_parcels"), total(entity).alias("entity_units"),
+        count(informative).alias("sfr_condo_parcels"), total(informative).alias("sfr_condo_units"), total(informative & entity).alias("sfr_condo_entity_units"),
+    )
+    spark = held.sparkSession
+    every = spark.createDataFrame([(y,) for y in years], "year int").join(rows, "year", "left").na.fill(0)
+    share = lambda a, b: F.coalesce(ratio(F.col(a), F.col(b)), F.lit(0.0))
+    return every.select(
+        "year", "parcels", "units", "entity_parcels", "entity_units", share("entity_parcels", "parcels").alias("parcel_share"), share("entity_units", "units").alias("unit_share"), "sfr_condo_parcels", "sfr_condo_units",
+        share("sfr_condo_entity_units", "sfr_condo_units").alias("sfr_condo_entity_unit_share"), F.coalesce(ratio(F.col("covered"), F.lit(stock_size)), F.lit(0.0)).alias("coverage_parcels"),
+    )

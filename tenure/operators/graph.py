@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,72 @@ def key_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def entity_nodes(owners: DataFrame, key: str, name: str, owner_class: str, entities: Sequence[str]) -> DataFrame:
+    """(owner_key, name, owner_class) of the entities, each once; blank keys are no nodes."""
+    rows = owners.where(F.col(owner_class).isin(*entities) & ~is_blank(F.col(key)))
+    return rows.select(F.col(key).alias("owner_key"), F.col(name).alias("name"), F.col(owner_class).alias("owner_class")).distinct()
+
+
+def typed_links(df: DataFrame, member: str, shared: str, link_type: str, evidence: str) -> DataFrame:
+    """(a, b, link_type, evidence): star links with what is shared; of several shared values the least stands as evidence."""
+    rows = checkpoint(df.where(~is_blank(F.col(member)) & ~is_blank(F.col(shared))).groupBy(F.col(member).alias("m"), F.col(shared).alias("s")).agg(F.min(evidence).alias("e")))
+    least = rows.groupBy("s").agg(F.min("m").alias("a"), F.min("e").alias("evidence"))
+    stars = hot_key_lookup(rows.select("m", "s"), "s", least, "s", ["a", "evidence"]).where("m <> a")
+    return stars.groupBy("a", F.col("m").alias("b")).agg(F.min("evidence").alias("evidence")).select("a", "b", F.lit(link_type).alias("link_type"), "evidence")
+
+
+def address_links(df: DataFrame, member: str, shared: str, link_type: str, least_degree: int, agent: str | None = None, agents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, denied): star links over shared values that do not link too many members, and (shared, degree, reason) of those that do.
+
+    A value is denied, and links nobody, if ``least_degree`` members or more share it (high_degree) or a row of it names one
+    of the agents (seed_agent). Blank values and members take no part.
+    """
+    rows = checkpoint(df.where(~is_blank(F.col(member)) & ~is_blank(F.col(shared))).select(F.col(member).alias("m"), F.col(shared).alias("s"), *([F.col(agent).alias("agent")] if agent else [])))
+    degrees = rows.select("m", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("degree"))
+    if agent and agents is not None:
+        named = rows.join(agents.select(F.col(agents.columns[0]).alias("agent")).distinct(), "agent", "left_semi").select("s").distinct().withColumn("seed", F.lit(True))
+        degrees = degrees.join(named, "s", "left")
+    else:
+        degrees = degrees.withColumn("seed", F.lit(None).cast("boolean"))
+    reason = F.when(F.col("degree") >= least_degree, "high_degree").when(F.col("seed"), "seed_agent")
+    denied = checkpoint(degrees.withColumn("reason", reason).where("reason is not null").select(F.col("s").alias("shared"), "degree", "reason"))
+    allowed = rows.join(denied.select(F.col("shared").alias("s")), "s", "left_anti")
+    return typed_links(allowed, "m", "s", link_type, "s"), denied
+
+
+def concat_links(*frames: DataFrame) -> DataFrame:
+    """(a, b, link_type, evidence): every pair once per type, with the least evidence."""
+    rows = reduce(lambda x, y: x.unionByName(y), frames)
+    return rows.where(F.col("a") != F.col("b")).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "link_type").agg(F.min("evidence").alias("evidence"))
+
+
+def link_graph(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(owner_key, cluster, members): every node with its component (itself if unlinked) and the number of nodes in it.
+
+    Ends of links that are no nodes still connect but are not counted.
+    """
+    roots = star_components(links.select("a", "b"))
+    member = checkpoint(nodes.select("owner_key").distinct().join(roots.withColumnRenamed("node", "owner_key"), "owner_key", "left").select("owner_key", F.coalesce("root", "owner_key").alias("cluster")))
+    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    return hot_key_lookup(member, "cluster", sizes, "cluster", ["members"])
+
+
+def owner_evidence(nodes: DataFrame, contacts: DataFrame, denied: DataFrame) -> DataFrame:
+    """Per node what its contacts show: addresses, denied ones, whether only denied or none, roles, persons.
+
+    contacts: (owner_key, address, role, person). Nodes without contacts have zero addresses and count as agent only.
+    """
+    marked = contacts.join(denied.select(F.col("shared").alias("address"), F.lit(1).alias("denied")), "address", "left").where(~is_blank(F.col("owner_key")))
+    there = ~is_blank(F.col("address"))
+    per_owner = marked.groupBy("owner_key").agg(
+        F.count_if(there).alias("addresses"), F.count_if(there & F.col("denied").isNotNull()).alias("denied_addresses"), F.bool_or(~is_blank(F.col("person"))).alias("has_person"), F.array_join(F.array_sort(F.collect_set(F.when(~is_blank(F.col("role")), F.col("role")))), "|").alias("roles")
+    )
+    zero = F.lit(0).cast("bigint")
+    rows = nodes.select("owner_key").distinct().join(per_owner, "owner_key", "left")
+    counts = rows.select("owner_key", F.coalesce("addresses", zero).alias("addresses"), F.coalesce("denied_addresses", zero).alias("denied_addresses"), F.coalesce("has_person", F.lit(False)).alias("has_person"), F.coalesce("roles", F.lit("")).alias("roles"))
+    return counts.withColumn("agent_only", F.col("addresses") == F.col("denied_addresses"))
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """(node, root) from pairs (a, b) by alternating large and small stars, until the edges are stars themselves.
 

@@ -43,14 +43,40 @@ def exploded_items(df: DataFrame, items: str, out: str) -> DataFrame:
     return df.withColumn(out, F.explode(F.array_distinct(items))).where(F.col(out).isNotNull() & (F.col(out) != "")).drop(items)
 
 
+#: Levels of the dyadic grid: whole numbers below 2 to this power.
+LEVELS = 48
+
+
 def range_lookup(left: DataFrame, on: Sequence[str], value: str, ranges: DataFrame, low: str, high: str, pick: str) -> DataFrame:
     """left with the least ``pick`` of the ranges with equal keys that hold the value, or null.
 
-    The equal keys make it a hash join with the range as a residual; left's rows must be distinct.
+    Values and ends are whole numbers from 0; others, nulls and ends in the wrong order match nothing. Every range is cut
+    into the few dyadic cells that make it up (two a level at most) and joined on equal keys, level and cell: a
+    hash join that meets only ranges that hold the value, however many share its keys. left's rows must be distinct.
     """
-    right = ranges.select(*[F.col(c).alias(f"__{c}") for c in on], F.col(low).alias("__low"), F.col(high).alias("__high"), F.col(pick).alias("__pick"))
-    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in on]) & F.col(value).between(F.col("__low"), F.col("__high"))
-    return left.join(right, match, "left").groupBy(*left.columns).agg(F.min("__pick").alias(pick))
+    lo, hi = F.col("__low"), F.col("__high")
+    right = ranges.select(*[F.col(c).alias(f"__{c}") for c in on], F.col(low).cast("bigint").alias("__low"), F.col(high).cast("bigint").alias("__high"), F.col(pick).alias("__pick")).where((lo >= 0) & (lo <= hi))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def step(state: Column, level: Column) -> Column:
+        """The ends of what is left at a level, once its odd cells at the two ends are taken."""
+        a, b = state["a"], state["b"]
+        cell = lambda there, at: F.when(there, F.array(F.struct(level.cast("int").alias("level"), at.alias("cell")))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+        odd_a, odd_b = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        return F.struct(F.shiftright(F.when(odd_a, a + 1).otherwise(a), 1).alias("a"), F.shiftright(F.when(odd_b, b - 1).otherwise(b), 1).alias("b"), F.concat(state["cells"], cell(odd_a, a), cell(odd_b, b - 1)).alias("cells"))
+
+    start = F.struct(lo.alias("a"), (hi + 1).alias("b"), F.array().cast("array<struct<level:int,cell:bigint>>").alias("cells"))
+    cells = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step)["cells"]
+    right = right.withColumn("__c", F.explode(cells)).select("*", F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")).drop("__c", "__low", "__high")
+    # only levels that some range uses are asked: at most LEVELS + 1 numbers
+    used = sorted(r[0] for r in right.select("__level").distinct().collect())
+    if not used:
+        return left.withColumn(pick, F.lit(None).cast(ranges.schema[pick].dataType))
+    v = F.col(value).cast("bigint")
+    asked = left.withColumn("__l", F.explode(F.when((v >= zero) & (v < one * (1 << LEVELS)), F.array(*[F.lit(u) for u in used])).otherwise(F.array(F.lit(None).cast("int")))))
+    asked = asked.withColumn("__at", F.expr(f"shiftright(cast(`{value}` as bigint), __l)"))
+    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__{c}") for c in on] + [F.col("__l") == F.col("__level"), F.col("__at") == F.col("__cell")])
+    return asked.join(right, match, "left").groupBy(*left.columns).agg(F.min("__pick").alias(pick))
 
 
 def audited_filter(df: DataFrame, cuts: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:

@@ -67,14 +67,33 @@ def headline_shares(parcels: DataFrame, informative: Column, units: str, owner_c
     return parcels.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def type_rates(parcels: DataFrame, kind: str, units: str, owner_class: str = "owner_class") -> DataFrame:
-    """Per type: its rate of entity units and its weight among all units; zero where there are none."""
-    u = F.coalesce(F.col(units), F.lit(0))
+def type_rates(parcels: DataFrame, kind: str, units: str | None, owner_class: str = "owner_class") -> DataFrame:
+    """Per type: its rate of entity units and its weight among all units; zero where there are none. Without ``units`` every row weighs one."""
+    u = F.coalesce(F.col(units), F.lit(0)) if units else F.lit(1).cast("bigint")
     rates = parcels.groupBy(kind).agg(F.sum(u).alias("units"), F.coalesce(F.sum(F.when(is_entity(F.col(owner_class)), u)), F.lit(0)).alias("entity_units"))
     whole = rates.agg(F.sum("units").alias("__all"))
     return rates.join(F.broadcast(whole)).select(kind, "units", "entity_units", F.coalesce(ratio(F.col("entity_units"), F.col("units")), F.lit(0.0)).alias("rate"), F.coalesce(ratio(F.col("units"), F.col("__all")), F.lit(0.0)).alias("weight"))
 
 
+def sensitivity_cube(headlines: DataFrame, sensitivity: float, specificity: float, labelled: int) -> DataFrame:
+    """The headline rows by parcel and by unit weight: raw share, share corrected for the classifier's errors, labels behind it."""
+    sides = F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f"{w}_share").alias("raw")) for w in ("parcel", "unit")])
+    rows = headlines.select("series", F.col("with_trusts").alias("include_trust"), "parcels", "units", "entity_parcels", "entity_units", F.inline(sides))
+    # the errors were measured for entities without trusts
+    corrected = F.when(~F.col("include_trust"), corrected_share(F.col("raw"), F.lit(sensitivity), F.lit(specificity)))
+    return rows.withColumns({"corrected": corrected, "n_labeled": F.when(corrected.isNotNull(), F.lit(labelled))})
+
+
+def claim(cube: DataFrame, series: str, weight: str, include_trust: bool) -> dict:
+    """The one row of the cube that backs a claim; KeyError if there is none, ValueError for a weight that does not exist."""
+    if weight not in ("parcel", "unit"):
+        raise ValueError(f"no weight {weight!r}")
+    rows = cube.where((F.col("series") == series) & (F.col("weight") == weight) & (F.col("include_trust") == include_trust)).limit(1).collect()
+    if not rows:
+        raise KeyError(f"no claim for {series}, {weight}, {include_trust}")
+    return rows[0].asDict()
+
+
 def mix_adjusted(reference: DataFrame, other: DataFrame, kind: str) -> DataFrame:
     """Direct standardisation of two places over their common types: one row.
 

@@ -47,6 +47,18 @@ def corrected_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.select("series", "with_trusts", shares.corrected_share(F.col("unit_share"), F.lit(0.9737), F.lit(0.9782)).alias("corrected")))
 
 
+def stock_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline shares by series, weight and trusts, raw and corrected for the classifier's errors."""
+    return _rounded(shares.sensitivity_cube(stock_headlines(spark, sf_dir), 0.9737, 0.9782, 305))
+
+
+def mix_adjusted_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standardisation by parcels instead of units."""
+    parcels = _parcels(spark, sf_dir)
+    sides = [shares.type_rates(parcels.where(F.col("metro_id") == m), "building_type", None) for m in ("nyc", "phl")]
+    return _rounded(shares.mix_adjusted(*sides, "building_type"))
+
+
 def type_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(shares.type_rates(_parcels(spark, sf_dir), "building_type", "res_units"))
 
@@ -75,7 +87,7 @@ def name_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighborhoods of an earlier release beside today's, whichever side has them."""
     today = _parcels(spark, sf_dir).groupBy("geo_neighborhood").agg(F.count(F.lit(1)).alias("n_now"))
     before = table(spark, sf_dir, "concentration_by_neighborhood").select("geo_neighborhood", F.col("parcels").alias("n_before"))
-    return today.join(before, "geo_neighborhood", "full_outer")
+    return today.join(before, "geo_neighborhood", "full_outer").withColumn("parcels", F.coalesce("n_now", F.col("n_before").cast("bigint")))
 
 
 def opacity_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +212,7 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stock_by_class, stock_by_type, stock_by_geo_type_suppressed, stock_grouping_sets, stock_headlines, corrected_headlines, type_rates, mix_adjusted, neighborhood_rollup, top_neighborhoods, name_coalesced, opacity_by_type, top_owners,
+        stock_by_class, stock_by_type, stock_by_geo_type_suppressed, stock_grouping_sets, stock_headlines, corrected_headlines, stock_sensitivity, type_rates, mix_adjusted, mix_adjusted_parcels, neighborhood_rollup, top_neighborhoods, name_coalesced, opacity_by_type, top_owners,
         clean_names, owner_parts, classified_counts, clean_addresses, name_cases, address_cases, first_tokens, scalar_functions, confusion_matrix, class_scores, macro_f1, sens_spec, stratified_sample, split_assign, bootstrap_interval,
     )
 }
@@ -232,6 +244,11 @@ _HEAD = f"""with {_P},
           from b left join p on series = 'all' or building_type in ('sfr_1_4', 'condo_unit')),
     h as (select series, with_trusts, count(*) as parcels, cast(sum(u) as bigint) as units, count(*) filter (where e) as entity_parcels, cast(coalesce(sum(u) filter (where e), 0) as bigint) as entity_units from x group by 1, 2)"""
 _RATES = "select building_type, cast(sum(coalesce(res_units, 0)) as bigint) as units, cast(coalesce(sum(res_units) filter (where owner_class in ('llc', 'corp', 'partnership')), 0) as bigint) as entity_units from p {} group by 1"
+_COUNTS = "select building_type, count(*) as units, count(*) filter (where owner_class in ('llc', 'corp', 'partnership')) as entity_units from p {} group by 1"
+_MIX = """j as (select a.units as ua, b.units as ub, a.entity_units * 1e0 / nullif(a.units, 0) as ra, b.entity_units * 1e0 / nullif(b.units, 0) as rb, a.building_type is not null and b.building_type is not null as c from a full outer join b using (building_type)),
+        t as (select count(*) filter (where c) as n_common, count(*) filter (where not c) as n_only, sum(ua) filter (where c) as wa, sum(ub) filter (where c) as wb, sum(ua * coalesce(ra, 0)) filter (where c) as aa, sum(ub * coalesce(rb, 0)) filter (where c) as bb, sum(ua * coalesce(rb, 0)) filter (where c) as ab from j),
+        r as (select n_common, n_only, aa / nullif(wa, 0) as x, bb / nullif(wb, 0) as y, ab / nullif(wa, 0) as z from t)
+        select n_common, n_only, round(x, 6) as reference_rate, round(y, 6) as other_rate, round(z, 6) as other_on_reference_mix, round(x - y, 6) as gap_common, round(x - z, 6) as rate_effect, round(z - y, 6) as mix_effect, case when abs(z - y) >= abs(x - z) then 'mix' else 'rate' end as dominant from r"""
 _CLEAN = r"trim(regexp_replace(regexp_replace(upper(coalesce({}, '')), '[^A-Z0-9&/ -]', ' ', 'g'), '\s+', ' ', 'g'))"
 _JOINED = "upper(concat_ws(' ', {}))"
 _SQUEEZED = r"trim(regexp_replace(regexp_replace({}, '[^A-Z0-9/ -]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -275,15 +292,15 @@ ORACLE = {
         from p group by grouping sets ((metro_id), (building_type), (owner_class), ())""",
     "stock_headlines": f"{_HEAD} select *, round(coalesce(entity_parcels * 1e0 / nullif(parcels, 0), 0), 6) as parcel_share, round(coalesce(entity_units * 1e0 / nullif(units, 0), 0), 6) as unit_share from h",
     "corrected_headlines": f"{_HEAD} select series, with_trusts, round((round(coalesce(entity_units * 1e0 / nullif(units, 0), 0), 6) + 0.9782e0 - 1e0) / (0.9737e0 + 0.9782e0 - 1e0), 6) as corrected from h",
+    "stock_sensitivity": f"""{_HEAD}, w as (select *, unnest(['parcel', 'unit']) as weight from h), z as (select series, with_trusts as include_trust, parcels, units, entity_parcels, entity_units, weight,
+            round(coalesce(case weight when 'parcel' then entity_parcels * 1e0 / nullif(parcels, 0) else entity_units * 1e0 / nullif(units, 0) end, 0), 6) as raw from w)
+        select *, case when not include_trust then round((raw + 0.9782e0 - 1e0) / (0.9737e0 + 0.9782e0 - 1e0), 6) end as corrected, case when not include_trust then cast(305 as int) end as n_labeled from z""",
     "type_rates": f"with {_P}, r as ({_RATES.format('')}) select building_type, units, entity_units, round(coalesce(entity_units * 1e0 / nullif(units, 0), 0), 6) as rate, round(coalesce(units * 1e0 / nullif(sum(units) over (), 0), 0), 6) as weight from r",
-    "mix_adjusted": f"""with {_P}, a as ({_RATES.format("where metro_id = 'nyc'")}), b as ({_RATES.format("where metro_id = 'phl'")}),
-        j as (select a.units as ua, b.units as ub, a.entity_units * 1e0 / nullif(a.units, 0) as ra, b.entity_units * 1e0 / nullif(b.units, 0) as rb, a.building_type is not null and b.building_type is not null as c from a full outer join b using (building_type)),
-        t as (select count(*) filter (where c) as n_common, count(*) filter (where not c) as n_only, sum(ua) filter (where c) as wa, sum(ub) filter (where c) as wb, sum(ua * coalesce(ra, 0)) filter (where c) as aa, sum(ub * coalesce(rb, 0)) filter (where c) as bb, sum(ua * coalesce(rb, 0)) filter (where c) as ab from j),
-        r as (select n_common, n_only, aa / nullif(wa, 0) as x, bb / nullif(wb, 0) as y, ab / nullif(wa, 0) as z from t)
-        select n_common, n_only, round(x, 6) as reference_rate, round(y, 6) as other_rate, round(z, 6) as other_on_reference_mix, round(x - y, 6) as gap_common, round(x - z, 6) as rate_effect, round(z - y, 6) as mix_effect, case when abs(z - y) >= abs(x - z) then 'mix' else 'rate' end as dominant from r""",
+    "mix_adjusted": f"""with {_P}, a as ({_RATES.format("where metro_id = 'nyc'")}), b as ({_RATES.format("where metro_id = 'phl'")}), {_MIX}""",
+    "mix_adjusted_parcels": f"""with {_P}, a as ({_COUNTS.format("where metro_id = 'nyc'")}), b as ({_COUNTS.format("where metro_id = 'phl'")}), {_MIX}""",
     "neighborhood_rollup": f"{_ROLL} select * from r",
     "top_neighborhoods": f"{_ROLL}, t as (select geo_neighborhood, entity_unit_share from r where not suppressed and entity_unit_share is not null order by 2 desc, 1 limit 12) select *, round(coalesce(entity_unit_share / nullif(max(entity_unit_share) over (), 0), 0), 6) as width from t",
-    "name_coalesced": f"with {_P}, a as (select geo_neighborhood, count(*) as n_now from p group by 1), b as (select geo_neighborhood, parcels as n_before from concentration_by_neighborhood) select geo_neighborhood, n_now, n_before from a full outer join b using (geo_neighborhood)",
+    "name_coalesced": f"with {_P}, a as (select geo_neighborhood, count(*) as n_now from p group by 1), b as (select geo_neighborhood, parcels as n_before from concentration_by_neighborhood) select geo_neighborhood, n_now, n_before, coalesce(n_now, cast(n_before as bigint)) as parcels from a full outer join b using (geo_neighborhood)",
     "opacity_by_type": f"with {_P}, q as (select * from p where opacity_tier is not null), {_shares_sql(['building_type'], 'opacity_tier', 'q')} select * from s",
     "top_owners": f"""with {_P} select owner_key, count(*) as parcels, cast(sum(res_units) as bigint) as units, count(distinct geo_neighborhood) as n_hoods,
         array_to_string(list_sort(list_distinct(list(geo_neighborhood)))[1:12], '|') as hoods, count(*) filter (where building_type = 'condo_unit') as condos from p where trim(owner_key) <> '' group by 1 order by units desc, owner_key limit 20""",

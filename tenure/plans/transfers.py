@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenure.functions import names
 from tenure.functions.text import is_blank
 from tenure.operators import flow, graph, relational, shares
+from tenure.operators.joins import hot_key_lookup
 from tenure.session import table
 
 PLACES = 6
@@ -103,10 +104,10 @@ def owner_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = flow.as_of_years(_intervals(spark, sf_dir), "recorded_date", 2018, 2024)
-    entity = shares.is_entity(F.col("owner_class"))
-    rows = held.groupBy("year").agg(F.count(F.lit(1)).alias("parcels"), F.sum("res_units").alias("units"), F.count_if(entity).alias("entity_parcels"), F.coalesce(F.sum(F.when(entity, F.col("res_units"))), F.lit(0)).cast("bigint").alias("entity_units"))
-    return rows
+    """The stock as it stood at each year's end, rebuilt from deeds: entity shares, those of houses and condos, coverage."""
+    held = flow.as_of_years(_intervals(spark, sf_dir), "recorded_date", 2018, 2024).where("building_type is not null")
+    owner_class = F.col("owner_class")
+    return _rounded(flow.history_shares(held, _stock(spark, sf_dir).count(), range(2018, 2025), F.col("building_type").isin("sfr_1_4", "condo_unit"), shares.is_entity(owner_class), ~owner_class.isin(*shares.EXCLUDED), "res_units"))
 
 
 def consistency_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +178,78 @@ def link_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.component_sizes(link_components(spark, sf_dir))
 
 
+# the link graph of the entities, from contacts to clusters
+
+#: An address shared by so many owners is an agent's.
+AGENT_DEGREE = 4
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.entity_nodes(table(spark, sf_dir, "owners"), "owner_key", "name_normalized", "owner_class", shares.ENTITY)
+
+
+def _entity_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id, owner_key, address, role) of the parties that are entities."""
+    rows = table(spark, sf_dir, "acris_parties").where(~is_blank(F.col("name")))
+    key = names.owner_key(names.primary_name(names.clean_name(F.col("name"))))
+    contacts = rows.select("document_id", key.alias("owner_key"), names.clean_address(F.col("address_1"), F.col("zip")).alias("address"), F.col("party_type").alias("role"), names.primary_name(names.clean_name(F.col("name"))).alias("name"))
+    return contacts.distinct()
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(owner_key, person): entities with the individuals of the same document."""
+    owners = table(spark, sf_dir, "owners").select("owner_key", "owner_class")
+    contacts = _entity_contacts(spark, sf_dir).join(owners, "owner_key")
+    entities = contacts.where(shares.is_entity(F.col("owner_class"))).select("document_id", "owner_key")
+    people = contacts.where("owner_class = 'individual'").select("document_id", F.col("name").alias("person"))
+    return entities.join(people, "document_id").select("owner_key", "person").distinct()
+
+
+def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir)
+
+
+def _address_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    contacts = _entity_contacts(spark, sf_dir).join(_nodes(spark, sf_dir).select("owner_key"), "owner_key", "left_semi")
+    return graph.address_links(contacts, "owner_key", "address", "address", AGENT_DEGREE)
+
+
+def address_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links over addresses, those of agents taken out before."""
+    return _address_links(spark, sf_dir)[0]
+
+
+def denied_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _address_links(spark, sf_dir)[1]
+
+
+def person_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.typed_links(_people(spark, sf_dir), "owner_key", "person", "person", "person")
+
+
+def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = key_pair_links(spark, sf_dir).select("a", "b", F.lit("key_pair").alias("link_type"), F.col("b").alias("evidence"))
+    return graph.concat_links(address_links(spark, sf_dir), person_links(spark, sf_dir), pairs)
+
+
+def entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.link_graph(_nodes(spark, sf_dir), all_links(spark, sf_dir))
+
+
+def owner_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = _people(spark, sf_dir).select("owner_key", F.lit("").alias("address"), F.lit("").alias("role"), "person")
+    contacts = _entity_contacts(spark, sf_dir).select("owner_key", "address", "role", F.lit("").alias("person")).distinct()
+    return graph.owner_evidence(_nodes(spark, sf_dir), contacts.unionByName(people), denied_addresses(spark, sf_dir))
+
+
+def parcels_by_cluster_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels with the size of their owner's cluster attached, counted by tier; owners that are no entity have none."""
+    parcels = table(spark, sf_dir, "opacity_parcels").select("owner_key", "opacity_tier", "res_units")
+    sized = hot_key_lookup(parcels, "owner_key", entity_clusters(spark, sf_dir).select("owner_key", "members"), "owner_key", ["members"])
+    size = F.when(F.col("members") == 1, "alone").when(F.col("members") > 1, "linked").otherwise("no entity")
+    return sized.groupBy("opacity_tier", size.alias("cluster")).agg(F.count(F.lit(1)).alias("parcels"), F.sum("res_units").alias("units"))
+
+
 # the star schema
 
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,10 +259,10 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for t in ("lineitem", "orders", "customer", "nation", "region"):
-        table(spark, sf_dir, t).createOrReplaceTempView(f"v_{t}")
-    return spark.sql("""select r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(distinct o_orderkey) as orders
-        from v_lineitem join v_orders on l_orderkey = o_orderkey join v_customer on o_custkey = c_custkey join v_nation on c_nationkey = n_nationkey join v_region on n_regionkey = r_regionkey group by r_name, n_name""")
+    lines, orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "region"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    revenue = F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2)
+    return joined.groupBy("r_name", "n_name").agg(revenue.alias("revenue"), F.count_distinct("o_orderkey").alias("orders"))
 
 
 def events_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +278,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_parties, primary_parties, document_grouping, exploded_lots, unit_to_billing_range_join, sale_filter_audit, sensitivity_table, attached_lots, flow_by_year, flow_by_year_type, owner_as_of, history_by_year, consistency_by_type,
-        semi_match, anti_unmatched, union_by_name, intersect_names, except_names, upserted_prices, star_links, address_degree_denylist, key_pair_links, link_components, link_component_sizes, pricing_summary, nation_revenue, events_latest, events_hourly,
+        semi_match, anti_unmatched, union_by_name, intersect_names, except_names, upserted_prices, star_links, address_degree_denylist, key_pair_links, link_components, link_component_sizes, entity_nodes, address_links, denied_addresses, person_links, all_links, entity_clusters, owner_evidence, parcels_by_cluster_size, pricing_summary, nation_revenue, events_latest, events_hourly,
     )
 }
 
@@ -238,6 +311,20 @@ def _flow_sql(groups: str) -> str:
 _CO = rf"co as (select left(sha256({_clean_sql('name')}), 16) as owner_key, {clean_address_sql('address_1', 'zip')} as address from acris_parties where trim(coalesce(name, '')) <> '' and address_1 is not null)"
 _KP = "e as (select distinct least(owner_key_a, owner_key_b) as a, greatest(owner_key_a, owner_key_b) as b from owner_link where trim(coalesce(owner_key_a, '')) <> '' and trim(coalesce(owner_key_b, '')) <> '' and owner_key_a <> owner_key_b)"
 _CC = f"with recursive {_KP}, s as (select a, b from e union select b, a from e), r(k, c) as (select a, a from s union select s.b, r.c from r join s on s.a = r.k), g as (select k as node, min(c) as root from r group by k)"
+_N = "n as (select distinct owner_key, name_normalized as name, owner_class from owners where owner_class in ('llc', 'corp', 'partnership') and trim(coalesce(owner_key, '')) <> '')"
+_FIRST = "trim(coalesce(list_filter(regexp_split_to_array({}, '\\s*/\\s*'), lambda x: trim(x) <> '')[1], ''))"
+_CT = f"""ct as (select document_id, left(sha256({_FIRST.format('clean')}), 16) as owner_key, address, party_type, {_FIRST.format('clean')} as name
+    from (select document_id, {_clean_sql('name')} as clean, {clean_address_sql('address_1', 'zip')} as address, party_type from acris_parties where trim(coalesce(name, '')) <> ''))"""
+_AL = f"""{_N}, {_CT}, ca as (select distinct owner_key, address from ct where address <> '' and owner_key in (select owner_key from n)), dg as (select address, count(*) as degree from ca group by 1),
+    ok as (select * from ca where address in (select address from dg where degree < 4)), hu as (select address, min(owner_key) as a from ok group by 1),
+    al as (select a, owner_key as b, 'address' as link_type, min(address) as evidence from ok join hu using (address) where owner_key <> a group by 1, 2)"""
+_PL = f"""{_AL}, pe as (select distinct e.owner_key, p.name as person from (select ct.* from ct join owners o using (owner_key) where o.owner_class in ('llc', 'corp', 'partnership')) e
+        join (select ct.* from ct join owners o using (owner_key) where o.owner_class = 'individual') p on e.document_id = p.document_id),
+    ph as (select person, min(owner_key) as a from pe where trim(person) <> '' group by 1), pl as (select a, owner_key as b, 'person' as link_type, min(person) as evidence from pe join ph using (person) where owner_key <> a group by 1, 2)"""
+_LINKS = f"""{_PL}, {_KP}, lr as (select * from al union all select * from pl union all select a, b, 'key_pair', b from e),
+    ln as (select least(a, b) as a, greatest(a, b) as b, link_type, min(evidence) as evidence from lr where a <> b group by 1, 2, 3)"""
+_GRAPH = """s as (select a, b from ln union select b, a from ln), r(k, c) as (select a, a from s union select s.b, r.c from r join s on s.a = r.k), g as (select k, min(c) as root from r group by k),
+    me as (select distinct n.owner_key, coalesce(root, n.owner_key) as cluster from n left join g on g.k = n.owner_key), cl as (select owner_key, cluster, count(*) over (partition by cluster) as members from me)"""
 ORACLE = {
     "latest_parties": "select document_id, record_type, party_type, name, address_1, city, state, zip, good_through_date from (select *, row_number() over (partition by document_id, party_type, name, address_1 order by good_through_date desc nulls last, record_type desc nulls last, city desc nulls last, state desc nulls last, zip desc nulls last) as rn from acris_parties) where rn = 1",
     "primary_parties": f"with {_PP} select * from pp",
@@ -254,7 +341,12 @@ ORACLE = {
     "flow_by_year": _flow_sql("year"),
     "flow_by_year_type": _flow_sql("year, building_type"),
     "owner_as_of": f"with {_A} select parcel_id, ye as year, doc_id, owner_class from y",
-    "history_by_year": f"with {_A} select ye as year, count(*) as parcels, cast(sum(res_units) as bigint) as units, count(*) filter (where {_E}) as entity_parcels, cast(coalesce(sum(res_units) filter (where {_E}), 0) as bigint) as entity_units from y group by 1",
+    "history_by_year": f"""with {_A}, h as (select *, owner_class not in ('public', 'nonprofit_religious') as p, building_type in ('sfr_1_4', 'condo_unit') as s, {_E} as e from y where building_type is not null),
+        t as (select ye, count(*) as covered, count(*) filter (where p) as parcels, cast(coalesce(sum(res_units) filter (where p), 0) as bigint) as units, count(*) filter (where p and e) as entity_parcels, cast(coalesce(sum(res_units) filter (where p and e), 0) as bigint) as entity_units,
+              count(*) filter (where p and s) as sfr_condo_parcels, cast(coalesce(sum(res_units) filter (where p and s), 0) as bigint) as sfr_condo_units, cast(coalesce(sum(res_units) filter (where p and s and e), 0) as bigint) as su from h group by 1)
+        select cast(v.y as int) as year, coalesce(parcels, 0) as parcels, coalesce(units, 0) as units, coalesce(entity_parcels, 0) as entity_parcels, coalesce(entity_units, 0) as entity_units, round(coalesce(entity_parcels * 1e0 / nullif(parcels, 0), 0), 6) as parcel_share,
+               round(coalesce(entity_units * 1e0 / nullif(units, 0), 0), 6) as unit_share, coalesce(sfr_condo_parcels, 0) as sfr_condo_parcels, coalesce(sfr_condo_units, 0) as sfr_condo_units, round(coalesce(su * 1e0 / nullif(sfr_condo_units, 0), 0), 6) as sfr_condo_entity_unit_share,
+               round(coalesce(covered * 1e0 / (select count(*) from st), 0), 6) as coverage_parcels from (select unnest(range(2018, 2025)) as y) v left join t on t.ye = v.y""",
     "consistency_by_type": f"""with {_A}, o as (select * from (select parcel_id, building_type, owner_class, row_number() over (partition by parcel_id order by building_type desc nulls last, owner_class desc nulls last) as rn from opacity_parcels) where rn = 1)
         select o.building_type, count(*) as compared, count(*) filter (where o.owner_class = i.owner_class) as agree, round(count(*) filter (where o.owner_class = i.owner_class) * 1e0 / count(*), 6) as rate from o join i on i.parcel_id = o.parcel_id and i.until is null group by 1""",
     "semi_match": f"with {_D} select doc_id, metro_id from d where doc_id in (select doc_id from transfer_parties)",
@@ -268,6 +360,18 @@ ORACLE = {
     "key_pair_links": f"with {_KP} select a, b from e",
     "link_components": f"{_CC} select node, root from g",
     "link_component_sizes": f"{_CC} select root, count(*) as members from g group by 1",
+    "entity_nodes": f"with {_N} select * from n",
+    "address_links": f"with {_AL} select * from al",
+    "denied_addresses": f"with {_AL} select address as shared, degree, 'high_degree' as reason from dg where degree >= 4",
+    "person_links": f"with {_PL} select * from pl",
+    "all_links": f"with {_LINKS} select * from ln",
+    "entity_clusters": f"with recursive {_LINKS}, {_GRAPH} select owner_key, cluster, members from cl",
+    "owner_evidence": f"""with {_LINKS}, dn as (select address from dg where degree >= 4), ad as (select distinct owner_key, address, party_type from ct),
+        ev as (select owner_key, count(*) filter (where address <> '') as addresses, count(*) filter (where address in (select address from dn)) as denied_addresses, array_to_string(list_sort(list_distinct(list(party_type) filter (where trim(coalesce(party_type, '')) <> ''))), '|') as roles from ad group by 1)
+        select n.owner_key, coalesce(addresses, 0) as addresses, coalesce(denied_addresses, 0) as denied_addresses, n.owner_key in (select owner_key from pe) as has_person, coalesce(roles, '') as roles, coalesce(addresses, 0) = coalesce(denied_addresses, 0) as agent_only
+        from (select distinct owner_key from n) n left join ev using (owner_key)""",
+    "parcels_by_cluster_size": f"""with recursive {_LINKS}, {_GRAPH} select opacity_tier, case when members = 1 then 'alone' when members > 1 then 'linked' else 'no entity' end as cluster, count(*) as parcels, cast(sum(res_units) as bigint) as units
+        from opacity_parcels p left join cl using (owner_key) group by 1, 2""",
     "pricing_summary": "select l_returnflag, l_linestatus, round(sum(l_quantity), 6) as sum_qty, round(round(sum(l_extendedprice * (1 - l_discount)), 2), 6) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2",
     "nation_revenue": "select r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(distinct o_orderkey) as orders from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2",
     "events_latest": "select user_id, ts, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc nulls last, event_id desc nulls last, event_type desc nulls last) as rn from events) where rn = 1",

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.operators.relational import latest_per_key
+from tenure.sources import files
 
 #: Reads of text keep null (nothing between separators) apart from "" (a quoted nothing).
-TEXT = {"nullValue": "\u0000", "emptyValue": "", "quote": '"', "escape": '"', "multiLine": "true"}
+TEXT = {"nullValue": "\u0000", "emptyValue": "", "quote": '"', "escape": '"'}
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".txt": ","}
 
 
@@ -28,11 +29,12 @@ def first_line(spark: SparkSession, path: str, separator: str) -> list[str]:
     return [] if row is None else [x.strip().strip('"') for x in row[0].split(separator)]
 
 
-def read_table(spark: SparkSession, path: str, header_if: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
+def read_table(spark: SparkSession, path: str, header_if: Sequence[str] = (), names: Sequence[str] = (), multi_line: bool = False) -> DataFrame:
     """Parquet as it is; .csv, .tsv and .txt with every column as text; another suffix is a ValueError.
 
     A text file has a header, unless ``header_if`` names fields of which none stands in its first line: then
-    the columns are ``names``, by position. Nothing is inferred: codes keep their leading zeros.
+    the columns are ``names``, by position. Nothing is inferred: codes keep their leading zeros. Files are split
+    among tasks; ``multi_line`` reads quoted line breaks, but then each file is one task.
     """
     suffix = _suffix(path)
     if suffix == ".parquet":
@@ -44,7 +46,7 @@ def read_table(spark: SparkSession, path: str, header_if: Sequence[str] = (), na
     columns = head if with_header else list(names)[: len(head)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.schema(schema).option("sep", SEPARATORS[suffix]).option("header", with_header).option("enforceSchema", True)
-    return reader.options(**TEXT).csv(path)
+    return reader.options(**TEXT).option("multiLine", multi_line).csv(path)
 
 
 def fold_headers(df: DataFrame, to: Callable[[str], str] = str.lower) -> DataFrame:
@@ -63,18 +65,18 @@ def with_optional(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
 
 
-def newest_extract(root: str, file: str) -> str:
+def newest_extract(spark: SparkSession, root: str, file: str) -> str:
     """The path of file in the newest dated folder under root that has it; FileNotFoundError if none."""
-    for folder in sorted((d for d in os.listdir(root) if re.fullmatch(r"\d{4}-\d{2}-\d{2}", d)), reverse=True):
-        if os.path.exists(path := os.path.join(root, folder, file)):
+    for folder in sorted((d for d in files.names(spark, root) if re.fullmatch(r"\d{4}-\d{2}-\d{2}", d)), reverse=True):
+        if files.exists(spark, path := f"{root}/{folder}/{file}"):
             return path
     raise FileNotFoundError(f"{file} in no dated folder of {root}")
 
 
-def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), files: int | None = None) -> None:
-    """Text in which null is nothing and "" is quoted. ``files`` is for published tables of a few rows."""
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = (), parts: int | None = None) -> None:
+    """Text in which null is nothing and "" is quoted. ``parts`` is for published tables of a few rows."""
     out = df.orderBy(*order) if order else df
-    out = out.coalesce(files) if files else out
+    out = out.coalesce(parts) if parts else out
     out.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", '""').csv(path)
 
 
@@ -89,10 +91,7 @@ def write_json_document(df: DataFrame, path: str) -> dict:
     if len(rows) != 1:
         raise ValueError("a document needs exactly one row")
     document = rows[0].asDict(recursive=True)
-    part = f"{path}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(document, f, default=str, sort_keys=True)
-    os.replace(part, path)
+    files.write_text(df.sparkSession, path, json.dumps(document, default=str, sort_keys=True))
     return document
 
 

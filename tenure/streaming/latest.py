@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,37 +10,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenure.operators.relational import latest_per_key, union_by_name
+from tenure.sources import files
 
 POINTER = "current.json"
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
     """The table as of the last batch, None before the first."""
-    pointer = os.path.join(target, POINTER)
-    if not os.path.exists(pointer):
-        return None
-    with open(pointer, encoding="utf-8") as f:
-        return spark.read.parquet(os.path.join(target, json.load(f)["version"]))
+    text = files.read_text(spark, f"{target}/{POINTER}")
+    versions = {} if text is None else json.loads(text)["buckets"]
+    return spark.read.option("basePath", target).parquet(*[f"{target}/bucket={b}/{v}" for b, v in versions.items()]).drop("bucket") if versions else None
 
 
-def keep_latest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
+def keep_latest(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], buckets: int = 16) -> StreamingQuery:
     """Maintain the latest row per key of a stream under target, over all data that is there now.
 
-    Each batch is merged into a new version of the table, then a pointer file is replaced: a batch that is run
-    again after a failure writes the same version again, so the result does not change.
+    Rows are bucketed by a hash of their keys; a batch merges only the buckets that it touches, into new versions, and
+    replaces the pointer file that names the version of each bucket. Versions that the pointer before it named
+    too stay for readers, older ones are deleted. A batch that is run again after a failure writes the same again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = current(batch.sparkSession, target)
-        rows = batch if before is None else union_by_name(before, batch)
+        spark = batch.sparkSession
+        text = files.read_text(spark, f"{target}/{POINTER}")
+        state = {"buckets": {}, "old": []} if text is None else json.loads(text)
+        rows = batch.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r[0] for r in rows.select("__bucket").distinct().collect())
+        before = [f"{target}/bucket={b}/{state['buckets'][str(b)]}" for b in touched if str(b) in state["buckets"]]
+        if before:
+            held = spark.read.parquet(*before)
+            rows = union_by_name(held.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), rows)
         version = f"v{number}"
-        latest_per_key(rows, keys, order).write.mode("overwrite").parquet(os.path.join(target, version))
-        part = os.path.join(target, f"{POINTER}.part")
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump({"version": version}, f)
-        os.replace(part, os.path.join(target, POINTER))
+        latest = latest_per_key(rows, [*keys, "__bucket"], order)
+        # into a folder of the batch, then each bucket to its place
+        latest.repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{target}/batch={version}")
+        for b in touched:
+            files.move(spark, f"{target}/batch={version}/__bucket={b}", f"{target}/bucket={b}/{version}")
+        files.delete(spark, f"{target}/batch={version}")
+        replaced = [f"bucket={b}/{state['buckets'][str(b)]}" for b in touched if state["buckets"].get(str(b), version) != version]
+        pointer = {"buckets": {**state["buckets"], **{str(b): version for b in touched}}, "old": replaced}
+        files.write_text(spark, f"{target}/{POINTER}", json.dumps(pointer, sort_keys=True))
+        for path in set(state["old"]) - set(replaced):
+            files.delete(spark, f"{target}/{path}")
 
-    os.makedirs(target, exist_ok=True)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -138,7 +138,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "2021-01-01").mkdir()
     path = tmp_path / "2020-01-01" / "a.csv"
     path.write_text('Code,Name\n007,""\n008,\n')
-    assert tables.newest_extract(str(tmp_path), "a.csv") == str(path)
+    assert tables.newest_extract(spark, str(tmp_path), "a.csv") == str(path)
     df = tables.fold_headers(tables.read_table(spark, str(path)))
     assert [tuple(r) for r in df.collect()] == [("007", ""), ("008", None)] and df.columns == ["code", "name"]
     bare = tmp_path / "b.csv"
@@ -175,7 +175,7 @@ def test_streaming(spark, tmp_path):
     for rows in ([("a", datetime(2020, 1, 1), 1), ("b", datetime(2020, 1, 1), 1)], [("a", datetime(2020, 1, 3), 3)], [("a", datetime(2020, 1, 2), 2), ("c", datetime(2020, 1, 2), 9)]):
         batch(rows)
         stream = spark.readStream.schema("k string, at timestamp_ntz, v int").parquet(source)
-        latest.keep_latest(stream, target, str(tmp_path / "cp"), ["k"], ["at"]).awaitTermination()
+        latest.keep_latest(stream, target, str(tmp_path / "cp"), ["k"], ["at"], 2).awaitTermination()
     assert {r["k"]: r["v"] for r in latest.current(spark, target).collect()} == {"a": 3, "b": 1, "c": 9}
     counts = latest.windowed(spark.readStream.schema("k string, at timestamp_ntz, v int").parquet(source), "at", "1 day", "1 day", ["k"], n=F.count(F.lit(1)))
     counts.writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
