@@ -37,11 +37,14 @@ def known_at_event(
     for k in change_key:
         right = right.where(F.col(k).isNotNull())
     right = right.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(change_key)], at.alias("__at"), F.lit(0).alias("__turn"), state.alias("__state"))
+    # quantiles of the order do not need the aggregate
+    order = ["__at", "__turn", "__tie"]
+    keys = [f"__e{i}" for i in range(len(event_key))]
+    sampled = left.select(*keys, *order).unionByName(right.withColumn("__tie", F.lit(0).cast("bigint")).select(*keys, *order))
     # of the changes of one moment only the greatest can ever be carried on
     right = right.groupBy(*[f"__e{i}" for i in range(len(change_key))], "__at", "__turn").agg(F.max("__state").alias("__state")).withColumn("__tie", F.lit(0).cast("bigint"))
     both = left.unionByName(right, allowMissingColumns=True)
-    keys = [f"__e{i}" for i in range(len(event_key))]
-    carried = ranged_scan(both, keys, ["__at", "__turn", "__tie"], {"__known": Scan("max", F.col("__state"))})
+    carried = ranged_scan(both, keys, order, {"__known": Scan("max", F.col("__state"))}, sampled=sampled)
     found = carried.where((F.col("__turn") == 1) & F.col("__known").isNotNull())
     names = [*rank, *[c for c in attributes if c not in rank]]
     return found.select(*[F.col(f"__e{i}").alias(c) for i, c in enumerate(event_key)], *[F.col(f"__event.{c}").alias(c) for c in extra], *[F.col(f"__known.{c}").alias(c) for c in names])

@@ -46,12 +46,12 @@ class Scan:
         return (F.greatest if self.kind == "max" else F.least)(before, own)
 
 
-def range_cuts(df: DataFrame, columns: Sequence[str], ranges: int, seed: int = 7) -> list[tuple]:
-    """At most ``ranges - 1`` cut points over the columns, as sampled quantiles."""
+def range_cuts(df: DataFrame, columns: Sequence[str], ranges: int, total: int | None = None, seed: int = 7) -> list[tuple]:
+    """At most ``ranges - 1`` cut points over the columns, as sampled quantiles. ``total``: the number of rows, where known."""
     if ranges <= 1:
         return []
     rows = df.select(*columns)
-    total = rows.count()
+    total = rows.count() if total is None else total
     wanted = ranges * SAMPLE_PER_RANGE
     if total == 0:
         return []
@@ -95,33 +95,37 @@ def range_of(df: DataFrame, columns: Sequence[str], cuts: Sequence[tuple]) -> Co
     return F.aggregate(steps, F.lit(0), search)
 
 
-def split_into_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """df with the column ``__range``. Null keys and null order values sort first and are kept."""
+def split_into_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None, sampled: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """df with the column ``__range``. Null keys and null order values sort first and are kept.
+
+    The quantiles are those of ``sampled`` (total: its rows), df itself if not given: rows of about the same
+    distribution that are cheaper to read, such as those that df aggregates.
+    """
     ranges = ranges or shuffle_partitions(df.sparkSession)
     columns = [*keys, *order]
-    return df.withColumn(RANGE, range_of(df, columns, range_cuts(df, columns, ranges)))
+    return df.withColumn(RANGE, range_of(df, columns, range_cuts(df if sampled is None else sampled, columns, ranges, total)))
 
 
-def ranged_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence[str], aggregates: Mapping[str, Scan], ranges: int | None = None) -> DataFrame:
+def ranged_aggregate(df: DataFrame, keys: Sequence[str], order: Sequence[str], aggregates: Mapping[str, Scan], ranges: int | None = None, total: int | None = None) -> DataFrame:
     """One row per key with each aggregate, from one partial state per key and range.
 
     The states of a (range, key) are combined before the shuffle; a key's states then number at most
     ``ranges``, so stitching them costs no task more than that. Null keys form a group of their own;
     an empty input gives no row; repeated rows count each.
     """
-    split = split_into_ranges(df, keys, order, ranges)
+    split = split_into_ranges(df, keys, order, ranges, total=total)
     states = split.groupBy(RANGE, *keys).agg(*[s.aggregate(s.value).alias(n) for n, s in aggregates.items()])
     stitch = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
     return states.groupBy(*keys).agg(*[stitch[s.kind](n).alias(n) for n, s in aggregates.items()])
 
 
-def ranged_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Mapping[str, Scan], ranges: int | None = None) -> DataFrame:
+def ranged_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Mapping[str, Scan], ranges: int | None = None, sampled: DataFrame | None = None) -> DataFrame:
     """df with a running value per scan over (keys, order), equal to an unbounded-preceding window.
 
     The order should make rows of a key distinct: rows that tie in it fall in either order. Costs one
     shuffle of the rows on (range, key) in groups of bounded size, and one of partial states.
     """
-    split = split_into_ranges(df, keys, order, ranges)
+    split = split_into_ranges(df, keys, order, ranges, sampled)
     return scan_ranges(split, keys, order, scans)
 
 

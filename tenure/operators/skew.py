@@ -19,10 +19,10 @@ def heavy_keys(df: DataFrame, key: str, order: list[str], least_share: float) ->
 
     All rows count towards the whole, those with a blank or null key too. Empty input: no rows.
     """
-    counted = ranged_aggregate(df.select(key, *order), [key], order, {"n_rows": Scan("sum", F.lit(1))})
     # one number; parquet knows it without reading the rows
-    least = least_share * df.count()
-    return counted.where(~is_blank(F.col(key)) & (F.col("n_rows") >= least)).select(F.col(key).alias("key_value"), "n_rows")
+    total = df.count()
+    counted = ranged_aggregate(df.select(key, *order), [key], order, {"n_rows": Scan("sum", F.lit(1))}, total=total)
+    return counted.where(~is_blank(F.col(key)) & (F.col("n_rows") >= least_share * total)).select(F.col(key).alias("key_value"), "n_rows")
 
 
 def key_totals(df: DataFrame, key: str, order: list[str], units: str) -> DataFrame:

@@ -184,10 +184,16 @@ def rescue(lines: DataFrame, payload: str, target: Mapping[str, str]) -> DataFra
     kinds = F.when(readable, F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, value: json_kind(value)))
     read = lines.select(*kept, F.when(~readable, F.col(payload)).alias("_unreadable"), kinds.alias("_kinds"), fields.alias("__fields"))
     read = read.select("*", *[_typed(F.try_element_at("__fields", F.lit(name)), kind).alias(name) for name, kind in target.items()])
-    whole = {name: typed_plain(F.col(name), kind).eqNullSafe(raw_plain(F.try_element_at("__fields", F.lit(name)), F.try_element_at("_kinds", F.lit(name)))) for name, kind in target.items()}
+    whole = {name: _given_back(F.col(name), kind, F.try_element_at("__fields", F.lit(name)), F.try_element_at("_kinds", F.lit(name))) for name, kind in target.items()}
     return _keep_rest(read, "__fields", {name: [name] for name in target}, whole).drop("__fields")
 
 
+def _given_back(typed: Column, kind: str, raw: Column, raw_kind: Column) -> Column:
+    """Whether a typed column holds all of the raw value; the notations are compared only where the texts differ."""
+    same = F.coalesce((F.to_json(typed) if kind.startswith("array") else typed.cast("string")) == raw, F.lit(False))
+    return same | typed_plain(typed, kind).eqNullSafe(raw_plain(raw, raw_kind))
+
+
 def replay(rescued: DataFrame, approved: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
     """Promote approved fields out of ``_rescued``: target column -> (type, source names in order of trust).
 
