@@ -94,7 +94,17 @@ _CLUSTERS = """
     s as (select a, b from e union select b, a from e),
     r(k, c) as (select distinct owner_key, owner_key from owners union select s.b, r.c from r join s on s.a = r.k),
     g as (select k as owner_key, min(c) as cluster_id from r where k in (select owner_key from owners) group by k)"""
+# runs of twelve words in common, with words hyphenated at line breaks joined and, for compounds, apart
+_LEAKS = r"""
+    with t as (select 'd' as kind, cast(doc_id as bigint) as id, text from documents where text is not null union all select 'i', cast(item_id as bigint), text from eval_items where text is not null),
+    c as (select kind, id, replace(replace(replace(regexp_replace(regexp_replace(text, '</?(br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr)\b[^<>]*>', ' ', 'gi'), '</?[A-Za-z][^<>]*>', '', 'g'), '&amp;', '&'), '&quot;', '"'), '&#39;', '''') as s from t),
+    v as (select kind, id, regexp_extract_all(lower(regexp_replace(s, '([\p{L}\p{N}])[-‐‑][ \t]*(\r\n|\r|\n)\s*([\p{L}\p{N}])', '\1\3', 'g')), '[\p{L}\p{N}]+') as w from c
+          union all select kind, id, regexp_extract_all(lower(s), '[\p{L}\p{N}]+') from c),
+    g as (select kind, id, array_to_string(w[i : i + 11], ' ') as gram from (select kind, id, w, unnest(range(1, len(w) - 10)) as i from v where len(w) >= 12))
+    select distinct d.id as doc_id, i.id as item_id from (select distinct id, gram from g where kind = 'd') d join (select distinct id, gram from g where kind = 'i') i using (gram)"""
 ORACLE = {
     "p2_found": f"{_CLUSTERS} select owner_key, cluster_id from g",
     "p2_sizes": f"{_CLUSTERS} select cluster_id, count(*) as n_owners from g group by cluster_id",
+    "p8_found": _LEAKS,
+    "p8_clean": f"select doc_id, source, n_chars from documents where doc_id is null or doc_id not in (select doc_id from ({_LEAKS}))",
 }
