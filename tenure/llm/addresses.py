@@ -262,15 +262,25 @@ def _close(a: str, b: str) -> bool:
 
 #: Parts that an address may lack.
 _OPTIONAL = ("dir", "kind", "unit", "city", "state", "zip")
+#: Parts without which an address may be whole, and the share of a location's entries that may have lost one.
+_OWN, LOST_SHARE = ("dir", "unit"), 0.35
 
 
 def compare(a: dict, b: dict) -> str:
-    """"equal", "less" (a lacks parts of b), "more", "cross" (both lack some) or "" for two locations."""
+    """"equal", "less" (a lacks parts of b), "more", "cross" (both lack some) or "" for two locations.
+
+    Each has n, the entries behind it: where more than a share of several entries that forms lose it at write no
+    direction or unit, they are a location of their own and do not lack the part.
+    """
     if a["num"] != b["num"] or a["box"] != b["box"]:
         return ""
     place = a["city"] != "" and one_letter(a["city"], b["city"])
     if not (one_letter(a["street"], b["street"]) or (a["zip"] != "" and a["zip"] == b["zip"] and _close(a["street"], b["street"]))):
         return ""
+    for part in _OWN:
+        lacking, other = (b, a) if a[part] else (a, b)
+        if other[part] and not lacking[part] and lacking["n"] > 1 and lacking["n"] > LOST_SHARE * (lacking["n"] + other["n"]):
+            return ""
     less = more = False
     for part in _OPTIONAL:
         x, y = a[part], b[part]
@@ -395,12 +405,14 @@ def locations(register: DataFrame, entry: str, address: str, city: str, state: s
         wide = ends.join(parts.select(F.col("group").alias("x"), F.col("p").alias("px")), "x").join(parts.select(F.col("group").alias("y"), F.col("p").alias("py")), "y")
         return wide.select("x", "y", compared("px", "py").alias("how")).where("how <> ''")
 
-    first = checkpoint(related(met.select(F.col("form").alias("x"), F.col("form_b").alias("y")), forms.select(F.col("form").alias("group"), "p")))
+    first = checkpoint(related(met.select(F.col("form").alias("x"), F.col("form_b").alias("y")), forms.select(F.col("form").alias("group"), F.struct("p.*", F.lit(0).cast("bigint").alias("n")).alias("p"))))
     # only forms without a conflict of their own can ever be in one group
     candidates = first.select(F.col("x").alias("form"), F.col("y").alias("form_b"))
     moves = components(first.where("how = 'equal'"), "x", "y")
     groups = forms.select("form", "p", "times", F.col("form").alias("group"))
-    parts, links = groups.select("group", "p"), first
+    parts = groups.select("group", F.struct("p.*", F.col("times").alias("n")).alias("p"))
+    links = checkpoint(related(first.select("x", "y"), parts))
+    moves = _moves(links) if moves.isEmpty() else moves
     while not moves.isEmpty():
         groups = checkpoint(groups.join(moves.withColumnRenamed("node", "group"), "group", "left").select("form", "p", "times", F.coalesce("root", "group").alias("group")))
         # all that moved is read anew, the rest stands
@@ -419,11 +431,12 @@ def locations(register: DataFrame, entry: str, address: str, city: str, state: s
 
 
 def _known_parts(groups: DataFrame) -> DataFrame:
-    """(group, p): what a group knows, of each part the value written most often."""
+    """(group, p): what a group knows, of each part the value written most often, and its number of entries."""
     long = groups.select("group", "times", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"p.{f}").alias("v")) for f in FIELDS])).alias("o")).where("o.v <> ''")
     written = long.groupBy("group", "o.f", "o.v").agg(F.sum("times").alias("n")).groupBy("group", "f").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     known = written.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("m"))
-    return known.select("group", F.struct(*[F.coalesce(F.try_element_at("m", F.lit(f)), F.lit("")).alias(f) for f in FIELDS]).alias("p"))
+    sizes = groups.groupBy("group").agg(F.sum("times").alias("n"))
+    return sizes.join(known, "group", "left").select("group", F.struct(*[F.coalesce(F.try_element_at("m", F.lit(f)), F.lit("")).alias(f) for f in FIELDS], F.col("n")).alias("p"))
 
 
 def _moves(links: DataFrame) -> DataFrame:
