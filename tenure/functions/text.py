@@ -36,3 +36,8 @@ def fold(c: Column) -> Column:
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once, however often use names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def strip_of(c: Column, characters: str) -> Column:
+    """Without any of these characters at both ends."""
+    return F.btrim(c, F.lit(characters))

@@ -91,6 +91,19 @@ def _ranked(df: DataFrame, strata: Sequence[str], key: str, seed: str) -> DataFr
     return ranged_scan(hashed, strata, ["__order", key], {"__turn": Scan("sum", F.lit(1))})
 
 
+def merged_labels(df: DataFrame, key: str, owner_class: str, labels: DataFrame, allowed: Sequence[str], least_confidence: float, open_class: str = "unknown") -> DataFrame:
+    """df with the class of a labeller where the rules left it open, and class_source rules or model.
+
+    labels: (key, label, confidence) from any model, a key possibly several times: the most confident allowed label counts
+    (ties: the greatest label). Labels below the confidence, null ones and others than the allowed are no labels.
+    """
+    known = labels.where(F.col("label").isin(*allowed) & (F.col("confidence") >= least_confidence)).groupBy(F.col(key).alias("__k")).agg(F.max(F.struct("confidence", "label")).alias("__l"))
+    joined = df.join(known, F.col(key) == F.col("__k"), "left")
+    taken = (F.coalesce(F.col(owner_class), F.lit(open_class)) == open_class) & F.col("__l").isNotNull()
+    columns = [F.when(taken, F.col("__l.label")).otherwise(F.col(c)).alias(c) if c == owner_class else F.col(c) for c in df.columns if c != "class_source"]
+    return joined.select(*columns, F.when(taken, "model").otherwise("rules").alias("class_source"))
+
+
 def leaked_columns(df: DataFrame, forbidden: Iterable[str]) -> list[str]:
     """Columns, nested fields too, that must not be published. Looks at the schema alone."""
 

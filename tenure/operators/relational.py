@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.text import is_blank
+from tenure.operators.ranges import Scan, ranged_scan
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -102,3 +103,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key-value store semantics: a key's row in new replaces the one in old; the last write of new wins by its columns."""
     stamped = union_by_name(old.withColumn("__write", F.lit(0)), new.withColumn("__write", F.lit(1)))
     return latest_per_key(stamped, keys, ["__write"]).drop("__write")
+
+
+def row_index(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """df with the number of each row in the order, from 0. Worked in ranges: no task sees all rows. Rows that tie get either number."""
+    ranked = ranged_scan(df.withColumn("__all", F.lit(0)), ["__all"], order, {"__no": Scan("sum", F.lit(1))})
+    return ranked.select(*df.columns, (F.col("__no") - 1).alias(name))
+
+
+def value_summary(df: DataFrame, keys: Sequence[str], latest: str, listed: str) -> DataFrame:
+    """Per key the greatest non-blank text of one column and the sorted distinct non-blank values of another, which should have few."""
+    there = lambda c: F.when(~is_blank(F.col(c)), F.col(c))
+    return df.groupBy(*keys).agg(F.max(there(latest)).alias(latest), F.array_join(F.array_sort(F.collect_set(there(listed))), "|").alias(listed))

@@ -194,6 +194,13 @@ def sens_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.sens_spec(_judged(spark, sf_dir), shares.is_entity(F.col("truth")), shares.is_entity(F.col("guess"))))
 
 
+def merged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule classes, and where they leave a name open the table's own class with its confidence as the labeller's."""
+    owners = table(spark, sf_dir, "owners").select("owner_key", names.classify(F.col("name_normalized")).owner_class.alias("owner_class"))
+    labels = table(spark, sf_dir, "owners").select("owner_key", F.col("owner_class").alias("label"), "confidence")
+    return evaluation.merged_labels(owners, "owner_key", "owner_class", labels, [x for x in LABELS if x != "unknown"], 0.5).groupBy("owner_class", "class_source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.stratified_sample(table(spark, sf_dir, "owners").select("owner_key", "owner_class"), ["owner_class"], "owner_key", 100)
 
@@ -213,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stock_by_class, stock_by_type, stock_by_geo_type_suppressed, stock_grouping_sets, stock_headlines, corrected_headlines, stock_sensitivity, type_rates, mix_adjusted, mix_adjusted_parcels, neighborhood_rollup, top_neighborhoods, name_coalesced, opacity_by_type, top_owners,
-        clean_names, owner_parts, classified_counts, clean_addresses, name_cases, address_cases, first_tokens, scalar_functions, confusion_matrix, class_scores, macro_f1, sens_spec, stratified_sample, split_assign, bootstrap_interval,
+        clean_names, owner_parts, classified_counts, clean_addresses, name_cases, address_cases, first_tokens, scalar_functions, confusion_matrix, class_scores, macro_f1, sens_spec, merged_labels, stratified_sample, split_assign, bootstrap_interval,
     )
 }
 
@@ -322,6 +329,8 @@ ORACLE = {
     "macro_f1": f"with {_M}, {_F1} select round(coalesce(avg(f1) filter (where support > 0), 0), 6) as macro_f1 from q",
     "sens_spec": f"""with {_J}, e as (select {_ENTITY.format('truth')} as t, {_ENTITY.format('guess')} as g from j), c as (select count(*) filter (where t and g) as tp, count(*) filter (where t and not g) as fn, count(*) filter (where not t and not g) as tn, count(*) filter (where not t and g) as fp from e)
         select *, round(coalesce(tp * 1e0 / nullif(tp + fn, 0), 0), 6) as sensitivity, round(coalesce(tn * 1e0 / nullif(tn + fp, 0), 0), 6) as specificity from c""",
+    "merged_labels": f"""with g as (select *, {_CLASS} as guess from (select *, name_normalized as name from owners)), m as (select *, guess = 'unknown' and coalesce(owner_class in ('individual', 'trust', 'estate', 'llc', 'corp', 'partnership') and confidence >= 0.5, false) as t from g)
+        select case when t then owner_class else guess end as owner_class, case when t then 'model' else 'rules' end as class_source, count(*) as n from m group by 1, 2""",
     "stratified_sample": """with q as (select owner_class, greatest(1, floor(count(*) * 100e0 / (select count(*) from owners) + 0.5)) as quota from owners group by 1),
         r as (select owner_key, owner_class, row_number() over (partition by owner_class order by sha256('s' || owner_key), owner_key) as n from owners) select owner_key, owner_class from r join q using (owner_class) where n <= quota""",
     "split_assign": "select owner_key, owner_class, case when ntile(2) over (partition by owner_class order by sha256('s' || owner_key), owner_key) = 1 then 'dev' else 'test' end as split from owners",

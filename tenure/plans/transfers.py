@@ -118,6 +118,17 @@ def consistency_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(both.groupBy("building_type").agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("owner_class") == F.col("rebuilt")).alias("agree")).withColumn("rate", F.col("agree") / F.col("compared")))
 
 
+def order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders numbered from the dearest."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_totalprice")).alias("place"))
+    return relational.row_index(orders, ["place", "o_orderkey"]).select("o_orderkey", "row_no")
+
+
+def sources_by_metro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version and all datasets of each metro's transfers."""
+    return relational.value_summary(table(spark, sf_dir, "transfers"), ["metro_id"], "source_version", "source_dataset")
+
+
 # joins and sets
 
 def semi_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +288,7 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_parties, primary_parties, document_grouping, exploded_lots, unit_to_billing_range_join, sale_filter_audit, sensitivity_table, attached_lots, flow_by_year, flow_by_year_type, owner_as_of, history_by_year, consistency_by_type,
+        latest_parties, primary_parties, document_grouping, exploded_lots, unit_to_billing_range_join, sale_filter_audit, sensitivity_table, attached_lots, flow_by_year, flow_by_year_type, owner_as_of, history_by_year, consistency_by_type, order_index, sources_by_metro,
         semi_match, anti_unmatched, union_by_name, intersect_names, except_names, upserted_prices, star_links, address_degree_denylist, key_pair_links, link_components, link_component_sizes, entity_nodes, address_links, denied_addresses, person_links, all_links, entity_clusters, owner_evidence, parcels_by_cluster_size, pricing_summary, nation_revenue, events_latest, events_hourly,
     )
 }
@@ -349,6 +360,8 @@ ORACLE = {
                round(coalesce(covered * 1e0 / (select count(*) from st), 0), 6) as coverage_parcels from (select unnest(range(2018, 2025)) as y) v left join t on t.ye = v.y""",
     "consistency_by_type": f"""with {_A}, o as (select * from (select parcel_id, building_type, owner_class, row_number() over (partition by parcel_id order by building_type desc nulls last, owner_class desc nulls last) as rn from opacity_parcels) where rn = 1)
         select o.building_type, count(*) as compared, count(*) filter (where o.owner_class = i.owner_class) as agree, round(count(*) filter (where o.owner_class = i.owner_class) * 1e0 / count(*), 6) as rate from o join i on i.parcel_id = o.parcel_id and i.until is null group by 1""",
+    "order_index": "select o_orderkey, row_number() over (order by -o_totalprice, o_orderkey) - 1 as row_no from orders",
+    "sources_by_metro": "select metro_id, max(source_version) filter (where trim(source_version) <> '') as source_version, array_to_string(list_sort(list_distinct(list(source_dataset) filter (where trim(source_dataset) <> ''))), '|') as source_dataset from transfers group by 1",
     "semi_match": f"with {_D} select doc_id, metro_id from d where doc_id in (select doc_id from transfer_parties)",
     "anti_unmatched": f"with {_D} select doc_id, metro_id from d where doc_id not in (select doc_id from transfer_parties)",
     "union_by_name": "select role, zip is null as no_zip, count(*) as n from (select doc_id, name_raw as name, role, null as zip from transfer_parties union all select document_id, name, null, zip from acris_parties) group by 1, 2",

@@ -141,6 +141,20 @@ def keyset_pages(fetch: Callable[[str | None, int], list[dict]], key: str, page_
             return
 
 
+def pull_pages(spark: SparkSession, pages: Iterator[list[dict]], schema: str, path: str) -> int:
+    """Write every page of a pull to parquet as it comes, and return the number of rows: no more than a page is held."""
+    total = 0
+    for number, page in enumerate(pages):
+        spark.createDataFrame(page, schema).coalesce(1).write.mode("append" if number else "overwrite").parquet(path)
+        total += len(page)
+    return total
+
+
+def read_inferred(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """Text with a header whose types are inferred from all rows: two reads; for lookups, as codes lose their leading zeros."""
+    return spark.read.option("header", True).option("inferSchema", True).option("sep", separator).csv(path)
+
+
 def next_page_size(got: int, asked: int, exceeded: bool, first: bool) -> int | None:
     """Size to ask for next with offset paging, None at the end.
 

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenure.functions import scalars
-from tenure.operators import graph, joins, relational, shares
-from tenure.sources import adapters, files, manifest
+from tenure.functions.text import strip_of
+from tenure.operators import evaluation, graph, joins, relational, shares
+from tenure.sources import adapters, files, manifest, tables
 
 C = F.col
 
@@ -130,3 +131,15 @@ def test_manifest_and_report(spark, tmp_path):
     assert manifest.read(spark, f"{folder}/run_manifest.json") == run and run.filter_counts == [{"stage": "parcels", "rule_id": "named", "rows_in": 2, "rows_out": 1}]
     assert manifest.read(spark, f"{folder}/none.json") is None and spark.read.parquet(f"{folder}/t.parquet").count() == 2
     assert files.markdown_table(df.limit(1)) == "| n | x |\n| --- | --- |\n| a\\|b | 0.5000 |\n" and files.names(spark, str(tmp_path / "no")) == []
+
+
+def test_labels_pages_and_strips(spark, tmp_path):
+    owners = spark.createDataFrame([("a", "unknown", "x"), ("b", "llc", "x"), ("c", None, "x"), ("d", "unknown", "x")], "k string, c string, class_source string")
+    labels = spark.createDataFrame([("a", "corp", 0.9), ("a", "trust", 0.8), ("b", "corp", 0.9), ("c", "trust", 0.7), ("d", "corp", 0.1), ("d", "alien", 0.9), (None, "corp", 1.0)], "k string, label string, confidence double")
+    got = evaluation.merged_labels(owners, "k", "c", labels, ["corp", "trust", "llc"], 0.5)
+    assert rows(got, "k", "c", "class_source") == [("a", "corp", "model"), ("b", "llc", "rules"), ("c", "trust", "model"), ("d", "unknown", "rules")]
+    path = str(tmp_path / "pull")
+    assert tables.pull_pages(spark, iter([[{"id": "1"}, {"id": "2"}], [{"id": "3"}]]), "id string", path) == 3 and rows(spark.read.parquet(path), "id") == [("1",), ("2",), ("3",)]
+    (tmp_path / "x.csv").write_text("n,t\n1,a\n")
+    assert dict(tables.read_inferred(spark, str(tmp_path / "x.csv")).dtypes) == {"n": "int", "t": "string"}
+    assert spark.range(1).select(strip_of(F.lit("--a-b.-"), "-.").alias("x")).first()["x"] == "a-b"
