@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tenure.operators import joins
 from tenure.operators.joins import hot_key_lookup
 from tenure.operators.ranges import Scan, range_cuts, ranged_aggregate, ranged_scan, split_into_ranges
 from tenure.operators.skew import concentration, heavy_keys, key_totals
@@ -66,10 +67,12 @@ def test_empty(spark, skewed):
     assert ranged_scan(empty, ["k"], ["o"], {"n": Scan("sum", F.lit(1))}).count() == 0
 
 
-def test_hot_key_lookup(spark):
+def test_hot_key_lookup(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BEARABLE", 100)
     left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 7}" if i % 5 else None) for i in range(1000)], "i int, k string")
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "k string, v int")
-    got = hot_key_lookup(left, "k", right, "k", ["v"], hot_keys=2, parts=4)
+    got = hot_key_lookup(left, "k", right, "k", ["v"], parts=4)
+    assert joins.hot_keys(left, "k") == ["hot"]
     assert rows_of(got, "i", "k", "v") == rows_of(left.join(right, "k", "left"), "i", "k", "v")
 
 
